@@ -1,0 +1,90 @@
+"""Four-note windows: nested pattern definitions, roles, rates by grouping sets, ranks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from stavework.functions.symbols import TOL, falls_by_third, per_100k, same_then_long, weak_beat
+from stavework.operators.sequences import SEGMENT, bass_voices
+
+DEFINITIONS = ("D1", "D2", "D3", "D4", "D5")
+
+
+def windows(segs: DataFrame) -> DataFrame:
+    """Every window of four notes with flags D1..D5 and cadential (its last note ends a
+    bar, or the segment)."""
+    w = Window.partitionBy(*SEGMENT).orderBy("pos")
+    ahead = lambda c, k: F.lead(c, k).over(w)
+    q = [F.col("quarter_length").cast("double"), *[ahead("quarter_length", k).cast("double") for k in (1, 2, 3)]]
+    out = segs.select("*", *[ahead("midi", k).alias(f"m{k}") for k in (1, 2, 3)], *[x.alias(f"q{k}") for k, x in enumerate(q)], ahead("bar_remaining", 3).alias("last_rem")).where("m3 is not null")
+    i = [F.col("m1") - F.col("midi"), F.col("m2") - F.col("m1"), F.col("m3") - F.col("m2")]
+    out = out.select("*", *[x.alias(f"i{k}") for k, x in enumerate(i, 1)])
+    d2, d3 = falls_by_third(F.col("i1"), F.col("i2"), F.col("i3")), same_then_long(*[F.col(f"q{k}") for k in range(4)])
+    out = out.withColumn("D1", (F.col("i1") == 0) & (F.col("i2") == 0) & (F.col("i3") == -4)).withColumn("D2", d2).withColumn("D3", d3)
+    out = out.withColumn("D4", F.col("D2") & F.col("D3")).withColumn("D5", F.col("D4") & weak_beat(F.col("offset")))
+    ends = F.col("seg_pos") == F.col("seg_len") - 3
+    return out.withColumn("cadential", (F.col("last_rem").between(0, 1 + TOL)) | ends)
+
+
+def by_work(wins: DataFrame) -> DataFrame:
+    """Counts per work, combined before the exchange; notes = windows + 3 per segment."""
+    return wins.groupBy("stratum", "composer", "work_id").agg(
+        F.count("*").alias("windows"), (F.count("*") + 3 * F.count_if(F.col("seg_pos") == 1)).alias("notes"), *[F.count_if(d).alias(d) for d in DEFINITIONS]
+    )
+
+
+def rates(works: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """Works, windows, notes, counts, rates per 100k and prevalence for each grouping set."""
+    columns = sorted({c for s in sets for c in s})
+    grouped = works.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    out = grouped.agg(F.count("*").alias("works"), F.sum("windows").alias("windows"), F.sum("notes").alias("notes"), *[F.sum(d).alias(d) for d in DEFINITIONS], *[F.round(100 * F.count_if(F.col(d) > 0) / F.count("*"), 6).alias(f"{d}_prevalence") for d in DEFINITIONS])
+    return out.select(*columns, "works", "windows", "notes", *DEFINITIONS, *[F.round(per_100k(F.col(d), F.col("windows")), 6).alias(f"{d}_rate") for d in DEFINITIONS], *[f"{d}_prevalence" for d in DEFINITIONS])
+
+
+def classes(wins: DataFrame, segs: DataFrame) -> DataFrame:
+    """D4 by role (bass or other) and position (cadential or not), with each class's share."""
+    bass = bass_voices(segs)
+    role = wins.join(bass, ["work_id", "movement_idx"], "left").withColumn("role", F.when(F.col("voice_id") == F.col("bass"), "bass").otherwise("other"))
+    name = F.concat_ws("_", "role", F.when(F.col("cadential"), "cad").otherwise("other"))
+    g = role.groupBy(name.alias("class")).agg(F.count("*").alias("windows"), F.count_if("D4").alias("d4"))
+    total = Window.partitionBy(F.lit(1))  # four rows
+    return g.select("class", "windows", "d4", F.round(F.col("d4") / F.sum("d4").over(total), 6).alias("share"))
+
+
+def trigram_ranks(wins: DataFrame, top: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``top`` interval triples of each group by frequency; ties by the triple itself."""
+    g = wins.groupBy(*by, "i1", "i2", "i3").agg(F.count("*").alias("cnt"))
+    if not by:
+        # a report of top rows: ordered limit first, so the ranking sees them only
+        g = g.orderBy(F.desc("cnt"), "i1", "i2", "i3").limit(top)
+    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.desc("cnt"), "i1", "i2", "i3")
+    return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def permutation_null(segs: DataFrame, permutations: int, seed: int = 20260903, min_notes: int = 150, by: tuple[str, ...] = ("stratum",)) -> DataFrame:
+    """Null of D2, D3, D4: intervals and durations of each segment shuffled independently.
+
+    Works of at least ``min_notes`` notes take part. The permutations are exploded next
+    to their segment's arrays, counted there and summed before the exchange: only
+    (group, permutation) counts move. Shuffles are seeded by work, segment and permutation.
+    Returns obs, mean, 2.5 % and 97.5 % order statistics, ratio and p per group.
+    """
+    per_seg = segs.groupBy(*by, *SEGMENT).agg(F.array_sort(F.collect_list(F.struct("pos", "midi", "quarter_length"))).alias("s"))
+    work = Window.partitionBy("work_id")
+    per_seg = per_seg.withColumn("total", F.sum(F.size("s")).over(work)).where(F.col("total") >= min_notes)
+    arrays = per_seg.select(*by, *SEGMENT, F.expr("transform(slice(s, 2, size(s) - 1), (x, i) -> x.midi - s[i].midi)").alias("iv"), F.expr("transform(s, x -> double(x.quarter_length))").alias("d"))
+    perms = arrays.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    keyed = lambda col, side: f"if(perm = 0, {col}, transform(array_sort(transform({col}, (x, i) -> struct(xxhash64({seed}, work_id, movement_idx, voice_id, seg, perm, i, '{side}') as h, x as x))), y -> y.x))"
+    mixed = perms.withColumn("a", F.expr(keyed("iv", "iv"))).withColumn("b", F.expr(keyed("d", "d")))
+    d2 = "a[i] = 0 and a[i + 1] = 0 and a[i + 2] in (-4, -3)"
+    d3 = f"b[i] > 0 and b[i + 1] > 0 and b[i + 2] > 0 and abs(b[i] - b[i + 1]) <= {TOL} and abs(b[i + 1] - b[i + 2]) <= {TOL} and b[i + 3] >= 2 * b[i + 2] - {TOL}"
+    at = "sequence(0, size(a) - 3)"
+    counted = mixed.select(*by, "perm", *[F.expr(f"size(filter({at}, i -> {c}))").alias(n) for n, c in (("D2", d2), ("D3", d3), ("D4", f"{d2} and {d3}"))])
+    sums = counted.groupBy(*by, "perm").agg(*[F.sum(c).alias(c) for c in ("D2", "D3", "D4")])
+    long = sums.select(*by, "perm", F.expr("stack(3, 'D2', D2, 'D3', D3, 'D4', D4) as (stat, v)"))
+    obs = F.max(F.when(F.col("perm") == 0, F.col("v")))
+    vals = F.array_sort(F.collect_list(F.when(F.col("perm") > 0, F.col("v"))))
+    low, high = int(0.025 * permutations), -int(-0.975 * permutations // 1) - 1
+    stats = long.groupBy(*by, "stat").agg(obs.alias("obs"), F.avg(F.when(F.col("perm") > 0, F.col("v"))).alias("mean"), vals.alias("vals"))
+    return stats.select(*by, "stat", "obs", "mean", F.element_at("vals", low + 1).alias("low"), F.element_at("vals", high + 1).alias("high"), F.when(F.col("mean") > 0, F.col("obs") / F.col("mean")).alias("ratio"), ((F.size(F.filter("vals", lambda x: x >= F.col("obs"))) + 1) / F.lit(permutations + 1)).alias("p"))

@@ -150,6 +150,26 @@ def _forest(names_a: np.ndarray, names_b: np.ndarray, linked: np.ndarray) -> pd.
 NO_LINKS = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 
+def _prune_pairs(num: int, den: int):
+    """Pairs whose prefixes still allow the similarity: up to the smaller of their last
+    tokens the prefixes are complete, so what they do not share there is not shared."""
+
+    def run(key, pairs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pairs
+        held = {i: (n, np.asarray(p)) for i, n, p in zip(known.doc_id, known.n, known.prefix)}
+        good = np.zeros(len(pairs), bool)
+        for k, (a, b) in enumerate(zip(pairs.a, pairs.b)):
+            (na, x), (nb, y) = held[a], held[b]
+            end = min(x[-1], y[-1])
+            x, y = x[: np.searchsorted(x, end, side="right")], y[: np.searchsorted(y, end, side="right")]
+            most = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) + min(na - len(x), nb - len(y)) if len(x) else min(na, nb - len(y))
+            good[k] = most * den >= num * (na + nb - most)
+        return pairs[good]
+
+    return run
+
+
 def _verify_pairs(num: int, den: int):
     def run(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
@@ -216,10 +236,10 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     all_table = write_table(texts.mapInArrow(_prefixes(words, classes, num, den), "doc_id long, n long, key binary, prefix array<long>"), "shingle-prefixes")
     rows = all_table.df()
     heads = write_table(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "distinct-sets").df()
-    # a vertex is a set's smallest document; prefixes come from that row
-    reps = rows.alias("r").join(heads.alias("h"), (F.col("r.key") == F.col("h.key")) & (F.col("r.doc_id") == F.col("h.rep"))).select("r.doc_id", "r.n", "r.prefix").dropDuplicates(["doc_id"])
-    reps_table = write_table(reps, "representatives")
-    reps = reps_table.df()
+    # a vertex is a set's smallest document; the prefixes of the others are left out
+    copies = write_table(rows.select("doc_id", "key").join(heads, "key").where("doc_id <> rep").select(F.col("doc_id").alias("copy")).distinct(), "copies").df()
+    small = copies.count() * 8 <= BROADCAST_BYTES
+    reps = rows.where("key is not null and doc_id is not null").join(F.broadcast(copies) if small else copies, F.col("doc_id") == F.col("copy"), "left_anti").select("doc_id", "n", "prefix")
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id", "n")
     counts = write_table(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens").df()
     shared = counts.count()
@@ -235,6 +255,11 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labelled = pairs.join(lead.withColumnRenamed("b", "x"), F.col("a") == F.col("x"), "left").select(F.coalesce("lead", "a").alias("lead"), "a", "b")
     crowd = labelled.groupBy("lead").agg(F.ceil(F.count("*") / 20_000).cast("int").alias("parts"))
     tasks = write_table(labelled.join(crowd, "lead").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).select("lead", "part", "a", "b"), "pair-tasks").df()
+    ends = tasks.select("lead", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
+    mine = write_table(_joined(reps, ends.select("id").distinct(), ends.count(), 8, F.col("doc_id") == F.col("id")).select("doc_id", "n", "prefix"), "pair-prefixes").df()
+    known = ends.join(mine, F.col("id") == F.col("doc_id")).select(F.col("lead").alias("to_lead"), F.col("part").alias("to_part"), "doc_id", "n", "prefix")
+    tasks = write_table(tasks.groupBy("lead", "part").cogroup(known.groupBy("to_lead", "to_part")).applyInPandas(_prune_pairs(num, den), "lead long, part int, a long, b long"), "close-pairs").df()
+    free_shuffles(spark)
     # combinations: documents with two common tokens in their extended prefix
     many = held.where(F.col("df") > rare)
     frequent = many.groupBy("doc_id").agg(F.collect_list("token").alias("heads")).where(F.size("heads") > 1)

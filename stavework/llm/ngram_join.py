@@ -242,9 +242,8 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     reps = rows.where("key is not null and doc_id is not null").join(F.broadcast(copies) if small else copies, F.col("doc_id") == F.col("copy"), "left_anti").select("doc_id", "n", "prefix")
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id", "n")
     counts = write_table(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens").df()
-    shared = counts.count()
     free_shuffles(spark)
-    held = write_table(_joined(postings, counts, shared, 32, "token"), "shared-postings").df()
+    held = write_table(postings.join(counts, "token"), "shared-postings").df()
     # single tokens: pairs of bounded groups
     few = held.where(F.col("df") <= rare)
     x, y = few.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))

@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(*self.inputs(*features(texts))), -40, 40)))
 
 
-def fit(dense: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rank: int = 8, epochs: int = 12, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> Model:
+def fit(dense: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rank: int = 8, epochs: int = 12, least_steps: int = 800, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> Model:
     """Adam on the logistic loss. Without both classes: the smoothed share of ones."""
     rng = np.random.default_rng(seed)
     k = len(STATS)
@@ -109,9 +109,10 @@ def fit(dense: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndar
     out, f, x = m.inputs(dense, pointer, np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]))
     moment = [np.zeros_like(m.w), np.zeros_like(m.w), np.zeros_like(m.v), np.zeros_like(m.v)]
     mb, step = np.zeros(2), 0
-    for _ in range(epochs):
+    batches = max(1, len(y) // 128)
+    for _ in range(max(epochs, -(-least_steps // batches))):
         order = rng.permutation(len(y))
-        for part in np.array_split(order, max(1, len(y) // 128)):
+        for part in np.array_split(order, batches):
             step += 1
             size_of = out[part + 1] - out[part]
             o = np.concatenate(([0], np.cumsum(size_of)))

@@ -9,6 +9,7 @@ that setting is unset (tests, local mode).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,7 +18,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+BATCH_ROWS = 2000
 _live: dict[str, SparkSession] = {}
 
 
@@ -48,11 +51,11 @@ def _sweep() -> None:
 class Table:
     """A table written to the shared folder: ``df()`` reads it, ``drop()`` deletes it."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
 
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)  # an empty partitioned table has no files
 
     def drop(self) -> None:
         _live.pop(self.path, None)
@@ -68,7 +71,7 @@ def write_table(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return Table(spark, path)
+    return Table(spark, path, df.schema)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -96,11 +99,26 @@ def input_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def trim_memory() -> None:
+    """Give freed memory of this worker back to the machine (where the C library can)."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def folded(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (the fold of a row)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
 def project(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """Only the named columns, under our own names: extra columns never clash."""
+    """Only the named columns, under our own names: extra columns never clash.
+
+    Texts may be long, so Python gets batches of fewer rows than Spark's default.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])

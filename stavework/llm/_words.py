@@ -82,7 +82,7 @@ def encoded(texts: Iterable[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def chunks(ids: list, texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def chunks(ids: list, texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, encoded texts) of about ``most`` bytes each; a longer text stands alone."""
     a, b, size = [], [], 0
     for i, t in zip(ids, encoded(texts)):

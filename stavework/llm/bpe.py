@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import project
+from stavework.llm._env import project, trim_memory
 
 #: Unicode's White_Space characters (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -269,7 +269,7 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _pieces_of(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _pieces_of(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t or "") > most:
@@ -297,6 +297,9 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
             for a, b in _pieces_of(texts):
                 ids, decoded, n = map(list, zip(*tok.encode_texts(texts[a:b])))
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())], schema=schema)
+        # workers are reused by other stages: the cache goes with its task
+        tok.cache.clear()
+        trim_memory()
 
     rows = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, ids string, decoded string, n_tokens long")

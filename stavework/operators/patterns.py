@@ -49,7 +49,7 @@ def classes(wins: DataFrame, segs: DataFrame) -> DataFrame:
     name = F.concat_ws("_", "role", F.when(F.col("cadential"), "cad").otherwise("other"))
     g = role.groupBy(name.alias("class")).agg(F.count("*").alias("windows"), F.count_if("D4").alias("d4"))
     total = Window.partitionBy(F.lit(1))  # four rows
-    return g.select("class", "windows", "d4", F.round(F.col("d4") / F.sum("d4").over(total), 6).alias("share"))
+    return g.select("class", "windows", "d4", F.round(F.try_divide(F.col("d4").cast("double"), F.sum("d4").over(total).cast("double")), 6).alias("share"))
 
 
 def trigram_ranks(wins: DataFrame, top: int, by: tuple[str, ...] = ()) -> DataFrame:

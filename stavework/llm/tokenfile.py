@@ -12,6 +12,7 @@ so that any store Spark writes to will do and a lost task is simply run again.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -111,11 +112,15 @@ class Encoder:
     def __init__(self, path: str, cache_runs: int = 500_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         gc.set_threshold(200_000, 50, 50)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.token_bytes[list(vocab.values())] = [len(t) for t in vocab]
         self.cache_runs = cache_runs
         self._clear()
 
@@ -124,12 +129,33 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.off, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
+    def _sizes(self, runs: list[str], ids: np.ndarray) -> np.ndarray:
+        """Number of ids of each run; a byte-level token stands for as many bytes as it has letters."""
+        at = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum([1 + (len(r) if r.isascii() else len(r.encode())) for r in runs])
+        last = np.searchsorted(at, ends)
+        if len(runs) and (last[-1] != len(ids) - 1 or not np.array_equal(at[last], ends)):
+            raise ValueError("a token crosses the space between two runs")
+        return np.diff(last, prepend=-1)
+
+    def _encode_runs(self, runs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(runs, their ids, number of ids of each). Runs that neither start nor end in white
+        space are encoded many to a text, which is cut before every single space anyway."""
+        plain, other = [], []
+        for r in runs:
+            (plain if r and not r[0].isspace() and not r[-1].isspace() and r[0] != "\0" else other).append(r)
+        texts = [" " + " ".join(plain[a : a + 500]) for a in range(0, len(plain), 500)]
+        ids = np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        size = self._sizes(plain, ids)
+        if other:
+            words = [r[1:] if r[:1] == "\0" else " " + r for r in other]  # a run led by NUL opens its text
+            got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate((ids, np.array(got.ids, np.int32)))
+            size = np.concatenate((size, np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))))
+        return plain + other, ids, size
+
     def _learn(self, runs: list[str]) -> None:
-        words = [r if r[:1] == "\0" else " " + r for r in runs]  # a run led by NUL opens its text
-        words = [w[1:] if w[:1] == "\0" else w for w in words]
-        got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, np.int32)
-        size = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
+        runs, ids, size = self._encode_runs(runs)
         k = len(self.where)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))

@@ -37,19 +37,10 @@ class Words(NamedTuple):
     buf: np.ndarray
 
 
-def words_of(texts: list[bytes], lower: bool) -> Words:
-    """All words of a batch; equal words have equal hashes on every machine."""
-    joined = b"\n".join(texts) + b"\n" + b"\0" * 8
-    raw = np.frombuffer(joined, np.uint8)
-    buf = _LOWER[raw] if lower else raw
-    n = len(joined) - 8
-    space = _SPACE[raw[:n]]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if n and not space[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[0::2], edge[1::2]
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range of ``buf``, which has eight more bytes than the ranges use."""
     lengths = end - start
-    lanes = np.ndarray((n,), "<u8", np.ascontiguousarray(buf), 0, (1,))
+    lanes = np.ndarray((len(buf) - 8,), "<u8", buf, 0, (1,))
     h = mix(lengths.astype(U) * GOLD + U(1))
     at, left, rows = start, lengths, None
     while len(at):
@@ -61,6 +52,21 @@ def words_of(texts: list[bytes], lower: bool) -> Words:
             h[rows] = mix((h[rows] ^ part) * U(3) + GOLD)
         more = left > 8
         at, left, rows = at[more] + 8, left[more] - 8, rows[more]
+    return h
+
+
+def words_of(texts: list[bytes], lower: bool) -> Words:
+    """All words of a batch; equal words have equal hashes on every machine."""
+    joined = b"\n".join(texts) + b"\n" + b"\0" * 8
+    raw = np.frombuffer(joined, np.uint8)
+    buf = _LOWER[raw] if lower else raw
+    n = len(joined) - 8
+    space = _SPACE[raw[:n]]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if n and not space[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[0::2], edge[1::2]
+    h = hash_spans(np.ascontiguousarray(buf), start, end)
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     first = np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))

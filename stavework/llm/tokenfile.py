@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavework.llm._env import input_splits, project, shared_dir
+from stavework.llm._words import U, distinct_sorted, hash_spans
 
 BLOCK, MAGIC = 128, 0x31524650
 _HEAD = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8")])
@@ -99,12 +100,66 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> tuple[np.
     return out.ravel()[: min(n, last * BLOCK) - first * BLOCK], lengths
 
 
+class Places:
+    """64-bit hashes and the numbers they were added under, in open addressing on arrays."""
+
+    def __init__(self, bits: int = 20):
+        self.keys, self.number, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash (none is 0), -1 where it is not held."""
+        mask = len(self.keys) - 1
+        at = h.astype(np.int64) & mask
+        held = self.keys[at]
+        out = np.where(held == h, self.number[at], np.int32(-1))
+        open_ = np.flatnonzero((held != h) & (held != 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & mask
+            held, want = self.keys[at], h[open_]
+            hit = held == want
+            out[open_[hit]] = self.number[at[hit]]
+            more = ~hit & (held != 0)
+            open_, at = open_[more], at[more]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that are not held get the next numbers."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            old = self.keys != 0
+            keys, number = self.keys[old], self.number[old]
+            bits = int(2 * (self.n + len(h))).bit_length() + 1
+            self.keys, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+            self._put(keys, number)
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = h.astype(np.int64) & mask
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            mine = free & (self.keys[at] == h)
+            self.number[at[mine]] = number[mine]
+            h, number, at = h[~mine], number[~mine], (at[~mine] + 1) & mask
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+# bytes that may end, or begin, a white space character outside ASCII
+_MAY_END, _MAY_BEGIN = _WHITE.copy(), _WHITE.copy()
+_MAY_END[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_MAY_BEGIN[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class Encoder:
     """Whole texts through the tokenizers library, each distinct space-led run once.
 
     For byte-level vocabularies a text may be cut before a single space unless white
     space stands on both sides of it; texts with such places, or with the text of a
-    special token, are encoded in one piece.
+    special token, are encoded in one piece. Runs are known by a 64-bit hash (exact up
+    to eight bytes of one length).
     """
 
     _RUN = re.compile(r"\s (?:\s|\Z)")
@@ -117,46 +172,42 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.token_bytes[list(vocab.values())] = [len(t) for t in vocab]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        if any(b" " in t for t in self.special):
+            raise ValueError("special tokens with spaces cannot be told apart in cut texts")
+        size = {i: len(t) for t, i in self.tok.get_vocab(with_added_tokens=False).items()}
+        size |= {i: len(t.content.encode()) for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.token_bytes = np.zeros(max(size) + 1, np.int64)
+        self.token_bytes[list(size)] = list(size.values())
         self.cache_runs = cache_runs
         self._clear()
 
     def _clear(self) -> None:
-        self.where: dict[str, int] = {}
+        self.places = Places()
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.off, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _sizes(self, runs: list[str], ids: np.ndarray) -> np.ndarray:
-        """Number of ids of each run; a byte-level token stands for as many bytes as it has letters."""
-        at = np.cumsum(self.token_bytes[ids])
-        ends = np.cumsum([1 + (len(r) if r.isascii() else len(r.encode())) for r in runs])
+    def _plain_runs(self, runs: list[str], bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of runs that a space leads and that neither start nor end
+        in further white space: many to a text, which is cut before every single space anyway.
+        A byte-level token stands for as many bytes as it has letters."""
+        texts = ["".join(runs[a : a + 500]) for a in range(0, len(runs), 500)]
+        ids = np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        at, ends = np.cumsum(self.token_bytes[ids]), np.cumsum(bytes_)
         last = np.searchsorted(at, ends)
         if len(runs) and (last[-1] != len(ids) - 1 or not np.array_equal(at[last], ends)):
             raise ValueError("a token crosses the space between two runs")
-        return np.diff(last, prepend=-1)
-
-    def _encode_runs(self, runs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(runs, their ids, number of ids of each). Runs that neither start nor end in white
-        space are encoded many to a text, which is cut before every single space anyway."""
-        plain, other = [], []
-        for r in runs:
-            (plain if r and not r[0].isspace() and not r[-1].isspace() and r[0] != "\0" else other).append(r)
-        texts = [" " + " ".join(plain[a : a + 500]) for a in range(0, len(plain), 500)]
-        ids = np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
-        size = self._sizes(plain, ids)
-        if other:
-            words = [r[1:] if r[:1] == "\0" else " " + r for r in other]  # a run led by NUL opens its text
-            got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
+        runs = [str(raw[a:b], "utf-8") for a, b in zip(start.tolist(), end.tolist())]
+        plain = np.array([r[0] == " " and not r[1:2].isspace() and not r[-1].isspace() for r in runs], bool)
+        ids, size = self._plain_runs([r for r, p in zip(runs, plain.tolist()) if p], (end - start)[plain])
+        if not plain.all():
+            got = self.tok.encode([r for r, p in zip(runs, plain.tolist()) if not p], is_pretokenized=True, add_special_tokens=False)
             ids = np.concatenate((ids, np.array(got.ids, np.int32)))
-            size = np.concatenate((size, np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))))
-        return plain + other, ids, size
-
-    def _learn(self, runs: list[str]) -> None:
-        runs, ids, size = self._encode_runs(runs)
-        k = len(self.where)
+            size = np.concatenate((size, np.bincount(np.array(got.word_ids, np.int64), minlength=int((~plain).sum()))))
+        k = self.places.n
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while k + len(runs) > len(self.off):
@@ -164,44 +215,60 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.off[k : k + len(runs)] = self.used + np.cumsum(size) - size
         self.len[k : k + len(runs)] = size
-        self.where.update(zip(runs, range(k, k + len(runs))))
+        self.places.add(np.concatenate((h[plain], h[~plain])))
         self.used += len(ids)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each), without end ids."""
-        if len(self.where) > self.cache_runs:
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), without end ids; none is null."""
+        if self.places.n > self.cache_runs:
             self._clear()
-        whole: dict[int, np.ndarray] = {}
-        runs: list[list[str]] = []
-        for k, t in enumerate(texts):
-            r: list[str] = []
-            if not t:
-                pass
-            elif self._RUN.search(t) or "\0" in t or any(s in t for s in self.special):
-                whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
-            else:
-                r = t.split(" ")
-                if r[0]:
-                    r[0] = "\0" + r[0]
-                else:
-                    del r[0]
-            runs.append(r)
-        size = np.array([len(r) for r in runs], np.int64)
-        all_ = [x for r in runs for x in r]
-        found = list(map(self.where.get, all_))
-        if None in found:
-            self._learn(list({w for w, f in zip(all_, found) if f is None}))
-            found = list(map(self.where.__getitem__, all_))
-        at = np.array(found, np.int64)
-        n = self.len[at]
-        ids = self.flat[np.repeat(self.off[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(size)))]
+        offsets = text_offsets(texts)
+        base, edge = int(offsets[0]), (offsets - offsets[0]).astype(np.int64)
+        n = int(edge[-1])
+        raw = texts.buffers()[2].slice(base, n).to_pybytes() if n else b""
+        buf = np.frombuffer(raw + b"\0" * 8, np.uint8)
+        space = np.flatnonzero(buf[:n] == 0x20)
+        start = distinct_sorted(np.concatenate((space, edge[:-1][edge[:-1] < edge[1:]])))
+        end = np.append(start[1:], n) if len(start) else start
+        h = np.maximum(hash_spans(buf, start, end), U(1))
+        at = self.places.find(h)
+        if len(lacking := np.flatnonzero(at < 0)):
+            new, first = np.unique(h[lacking], return_index=True)
+            first = lacking[first]
+            self._learn(new, raw, start[first], end[first])
+            at[lacking] = self.places.find(h[lacking])
+        size = self.len[at]
+        ids = self.flat[np.repeat(self.off[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        ends = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, edge)]
         lengths = np.diff(ends)
+        whole = self._whole(texts, raw, buf, space, edge)
         if whole:
             parts = [whole.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, lengths
 
+    def _whole(self, texts: pa.StringArray, raw: bytes, buf: np.ndarray, space: np.ndarray, edge: np.ndarray) -> dict[int, np.ndarray]:
+        """Ids of the texts that must not be cut."""
+        last = np.zeros(len(buf), bool)
+        last[edge[1:]] = True
+        inner = space[space > 0]
+        odd = inner[_MAY_END[buf[inner - 1]] & (_MAY_BEGIN[buf[inner + 1]] | last[inner + 1])].tolist()
+        for s in self.special:
+            i = raw.find(s)
+            while i >= 0:
+                odd.append(i)
+                i = raw.find(s, i + 1)
+        out = {}
+        for k in np.unique(np.searchsorted(edge, np.array(odd, np.int64), side="right") - 1).tolist():
+            t = texts[k].as_py()
+            if self._RUN.search(t) or any(s.decode() in t for s in self.special):
+                out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
+        return out
+
+
+def text_offsets(texts: pa.StringArray) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -220,36 +287,39 @@ def write(docs: DataFrame, target: str, tokenizer_path: str, *, doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
-        owners: list[int | None] = []
-        state = {"segment": 0, "start": 0, "held": 0}
-
-        def flush() -> pa.RecordBatch:
-            lengths = np.array([len(h) for h in held], np.int64)
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([state["segment"]], pa.int32()), pa.array([state["start"]]), pa.array([state["held"]]), pa.array([owners], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held), lengths, percentile)])], schema=schema)
-            state.update(segment=state["segment"] + 1, start=state["start"] + state["held"], held=0)
-            held.clear()
-            owners.clear()
-            return row
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        segment = start = n_held = 0
+
+        def row() -> pa.RecordBatch:
+            ids, lengths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            owners = pa.concat_arrays([h[2] for h in held])
+            listed = pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([start]), pa.array([len(ids)]), listed, pa.array([pack(ids, lengths, percentile)])], schema=schema)
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            a = 0
+            owners, texts = batch.column("doc_id"), batch.column("text").cast(pa.string())
+            if texts.null_count:
+                texts = texts.fill_null("")
+            offsets, a = text_offsets(texts).astype(np.int64), 0
             while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b] or "") <= 2_000_000):
-                    size += len(texts[b] or "")
-                    b += 1
-                flat, lengths = enc(texts[a:b])
-                for i, x in zip(ids[a:b], np.split(flat, np.cumsum(lengths)[:-1])):
-                    held.append(np.append(x, end_id))
-                    owners.append(i)
-                    state["held"] += len(x) + 1
-                    if state["held"] >= segment_ids:
-                        yield flush()
+                # about two million bytes at once; a longer text stands alone
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 2_000_000, side="right")) - 1)
+                flat, lengths = enc(texts.slice(a, b - a))
+                ids = np.insert(flat, np.cumsum(lengths), end_id)
+                cut = np.concatenate(([0], np.cumsum(lengths + 1)))
+                i = 0
+                while i < b - a:  # whole documents until the segment is full
+                    j = min(b - a, int(np.searchsorted(cut, cut[i] + segment_ids - n_held)))
+                    held.append((ids[cut[i] : cut[j]], lengths[i:j] + 1, owners.slice(a + i, j - i)))
+                    n_held += int(cut[j] - cut[i])
+                    i = j
+                    if n_held >= segment_ids:
+                        yield row()
+                        segment, start, n_held = segment + 1, start + n_held, 0
+                        held.clear()
                 a = b
         if held:
-            yield flush()
+            yield row()
 
     rows = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = max(2, 2 * input_splits(docs))

@@ -32,6 +32,8 @@ from stavework.llm.components import connected_components
 SKETCH_BITS, SLICES = 22, 16
 #: Rows of at most so many bytes are broadcast; larger tables are joined by exchange.
 BROADCAST_BYTES = 16_000_000
+#: Candidate pairs, and tokens of one side of a block, that a task verifies at once.
+PART_PAIRS, BLOCK_TOKENS = 8_000, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -49,7 +51,8 @@ def _sketch(words: int):
             for _, texts in chunks(pdf.text.tolist(), pdf.text.tolist()):
                 tokens = [s for s in shingle_sets(texts, words) if len(s)]
                 if tokens:
-                    seen += np.bincount((np.concatenate(tokens) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen)).astype(np.uint32)
+                    cell, count = np.unique_counts((np.concatenate(tokens) >> U(64 - SKETCH_BITS)).astype(np.uint32))
+                    seen[cell] += count.astype(np.uint32)
         if seen.any():
             packer = zstandard.ZstdCompressor(3)
             yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [packer.compress(s.tobytes()) for s in np.split(seen, SLICES)]})
@@ -120,7 +123,7 @@ def _matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return row[keep], new[col[keep]], int((count > 1).sum())
 
 
-def overlaps(sets: list[np.ndarray], split: int, width: int = 4096) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], split: int, width: int = 1024) -> np.ndarray:
     """Sizes of all intersections between the first ``split`` sets and the others."""
     row, col, n = _matrix(sets)
     out = np.zeros((split, len(sets) - split), np.float32)
@@ -252,7 +255,7 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # neighbours of one smallest neighbour are verified together; large gatherings in parts
     lead = pairs.groupBy("b").agg(F.min("a").alias("lead"))
     labelled = pairs.join(lead.withColumnRenamed("b", "x"), F.col("a") == F.col("x"), "left").select(F.coalesce("lead", "a").alias("lead"), "a", "b")
-    crowd = labelled.groupBy("lead").agg(F.ceil(F.count("*") / 20_000).cast("int").alias("parts"))
+    crowd = labelled.groupBy("lead").agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts"))
     tasks = write_table(labelled.join(crowd, "lead").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).select("lead", "part", "a", "b"), "pair-tasks").df()
     ends = tasks.select("lead", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
     mine = write_table(_joined(reps, ends.select("id").distinct(), ends.count(), 8, F.col("doc_id") == F.col("id")).select("doc_id", "n", "prefix"), "pair-prefixes").df()
@@ -261,15 +264,16 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     free_shuffles(spark)
     # combinations: documents with two common tokens in their extended prefix
     many = held.where(F.col("df") > rare)
-    frequent = many.groupBy("doc_id").agg(F.collect_list("token").alias("heads")).where(F.size("heads") > 1)
+    frequent = many.groupBy("doc_id").agg(F.collect_list("token").alias("heads"), F.max("n").alias("n")).where(F.size("heads") > 1)
     frequent = write_table(frequent, "frequent-heads").df()
     wanted = write_table(tasks.select(F.explode(F.array("a", "b")).alias("id")).unionByName(frequent.select(F.col("doc_id").alias("id"))).distinct(), "wanted-sets").df()
     sets = write_table(_joined(texts, wanted, wanted.count(), 16, F.col("doc_id") == F.col("id")).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(_sets(words), "doc_id long, s binary"), "sets").df()
     needed = tasks.select("lead", "part", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id").select(F.col("lead").alias("to_lead"), F.col("part").alias("to_part"), "doc_id", "s")
     from_pairs = tasks.groupBy("lead", "part").cogroup(needed.groupBy("to_lead", "to_part")).applyInPandas(_verify_pairs(num, den), "a long, b long")
-    nested = frequent.select("doc_id", "heads", F.explode("heads").alias("token"))
-    sizes = nested.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = nested.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    nested = frequent.select("doc_id", "heads", "n", F.explode("heads").alias("token"))
+    most = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_TOKENS)  # long sets make smaller blocks
+    sizes = nested.groupBy("token").agg(F.ceil(most).cast("int").alias("blocks"))
+    placed = nested.drop("n").join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("t", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(k, j) as x, greatest(k, j) as y, int(j < k) as side))")))
     blocks = placed.join(sets, "doc_id").select("token", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), (F.col("t.x") == F.col("t.y")).alias("same"), "doc_id", "heads", "s")
     from_blocks = blocks.groupBy("token", "x", "y").applyInPandas(_verify_blocks(num, den), "a long, b long")

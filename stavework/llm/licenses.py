@@ -1,12 +1,14 @@
 """License scan with DataFrame functions only.
 
-Every line of every file is compared with the licence templates by the cosine of
+Passages of every file are compared with the licence templates by the cosine of
 sparse TF-IDF vectors over the templates' terms (document frequencies from the
-whole corpus). A line without any *distinctive* term cannot reach the threshold:
-the other terms of a template carry less than that share of its length, so only
-lines with one are scored. A file's notice is its best line. A licence file gives
-its licence to its directory; files without a notice inherit from the nearest
-ancestor directory that has one, found by equi-joins on directory paths.
+whole corpus). Passages are the lines, runs of two to four consecutive lines, windows
+of as many tokens as a template has (over line ends too), and whole licence files.
+A passage without any *distinctive* term cannot reach the threshold: the other terms
+of a template carry less than that share of its length, so only passages with one
+are scored. A file's notice is its best passage. A licence file gives its licence
+to its directory; files without a notice inherit from the nearest ancestor directory
+that has one, found by equi-joins on directory paths.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavework.llm._env import project, write_table
@@ -38,6 +40,8 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+RUNS = (2, 3, 4)
+
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -72,11 +76,35 @@ def weights(terms: list[tuple[int, str, str, float]], idf: dict[str, float], thr
     return vectors, sorted(needed)
 
 
+def passages(files: DataFrame, whole: DataFrame, vocabulary: list[str], needed: list[str], lengths: list[int]) -> DataFrame:
+    """(path, h, line, kind, at, ts): passages of more or less than a line that hold a needed term.
+
+    ``line`` is that of the first template term, ``ts`` are the template terms inside.
+    kind r > 1: r consecutive lines from line ``at``; kind -n: n tokens from token ``at``;
+    kind 0: the whole text of a file (path, h) of ``whole``.
+    """
+    likely = F.arrays_overlap("ts", F.array(*[F.lit(t) for t in needed]))
+    # one row per different (path, text); line ends are kept as items to count them
+    texts = files.select("path", "h", F.regexp_extract_all(F.lower("text"), F.lit(rf"\n|{TOKEN}"), F.lit(0)).alias("ts")).where(likely).dropDuplicates(["path", "h"])
+    items = texts.select("path", "h", F.posexplode("ts").alias("p", "term")).where(F.col("term").isin("\n", *vocabulary))
+    w = Window.partitionBy("path", "h")
+    placed = items.withColumn("line", F.count_if(F.col("term") == "\n").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where(F.col("term") != "\n").withColumn("q", F.col("p") - F.col("line"))
+    placed = write_table(placed.select("path", "h", "q", "line", "term"), "license-terms").df()
+
+    runs = placed.select("path", "h", "line", "term", F.explode(F.array(*[F.struct(F.lit(r).alias("kind"), (F.col("line") - j).alias("at")) for r in RUNS for j in range(r)])).alias("x"))
+    runs = runs.groupBy("path", "h", "x.kind", "x.at").agg(F.min("line").alias("line"), F.collect_list("term").alias("ts"))
+    by_length = placed.select("path", "h", "line", F.col("q").alias("at"), F.array(*[F.struct(F.lit(-n).alias("kind"), F.collect_list("term").over(w.orderBy("q").rangeBetween(0, n - 1)).alias("ts")) for n in lengths]).alias("xs"))
+    windows = by_length.select("path", "h", "line", "at", F.inline("xs"))
+    entire = placed.join(whole, ["path", "h"], "left_semi").groupBy("path", "h").agg(F.min("line").alias("line"), F.collect_list("term").alias("ts")).withColumns({"kind": F.lit(0), "at": F.lit(0)})
+    columns = ["path", "h", "line", "kind", "at", "ts"]
+    return runs.select(columns).unionByName(windows.select(columns)).unionByName(entire.select(columns)).where(likely)
+
+
 def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_file: str | None = None, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per file: path, license, score, origin, from_dir, line (of its notice).
 
-    origin is 'notice' (its own best line; ties: the first line, then the order of
-    the templates), 'inherited' (from the nearest ancestor directory with a licence
+    origin is 'notice' (its own best passage; ties: the first line, then single lines
+    before other passages, then the order of the templates), 'inherited' (from the nearest ancestor directory with a licence
     file; from_dir names it) or 'none'. ``licence_file``: SQL condition on ``path``
     and ``n_tokens`` for further licence files beside those so named. A directory
     with several licences takes the most frequent, then the better scored, then the
@@ -96,27 +124,31 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_fi
     table = spark.createDataFrame([(k, name, t, w, idf[t]) for k, name, t, w in vectors], "notice int, license string, term string, w double, idf double")
     in_vocabulary = spark.createDataFrame(list(idf.items()), "term string, idf double")
 
-    lines = docs.select("path", "h", F.posexplode(F.split("text", "\n")).alias("line", "content")).select("path", "h", "line", tokens(F.col("content")).alias("ts"))
-    likely = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in needed])))
-    counted = likely.select("path", "h", "line", F.explode("ts").alias("term")).join(F.broadcast(in_vocabulary), "term").groupBy("path", "h", "line", "term", "idf").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
-    by_line = counted.groupBy("path", "h", "line").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"))).alias("xs"))
-    # a line holds at most one entry per template term
-    sized = by_line.withColumn("len", F.expr("sqrt(aggregate(xs, 0D, (a, e) -> a + e.x * e.x))"))
-    matched = sized.select("path", "h", "line", "len", F.inline("xs")).join(F.broadcast(table), "term").groupBy("path", "h", "line", "len", "notice", "license").agg((F.sum(F.col("x") * F.col("w")) / F.col("len")).alias("score"))
-    good = matched.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
-    best = good.groupBy("path", "h").agg(F.min_by(F.struct("license", "score", "line"), F.struct((-F.col("score")).alias("a"), F.col("line").alias("b"), F.col("notice").alias("c"))).alias("m"))
-    own = write_table(best.select("path", "h", "m.license", "m.score", "m.line"), "license-notices").df()
-
-    directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
-    marks = own.withColumnsRenamed({"path": "o_path", "h": "o_h"})
     named = F.col("path").rlike(LICENCE_FILE)
     if licence_file:
         with_size = docs.select("path", "h", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n_tokens"))
         named = named | F.expr(licence_file)
     else:
         with_size = docs.select("path", "h")
-    with_size = with_size.distinct()
-    givers = own.join(with_size.where(named).select("path", "h"), ["path", "h"]).withColumn("dir", directory)
+    licence_files = write_table(with_size.where(named).select("path", "h").distinct(), "license-files").df()
+
+    lines = docs.select("path", "h", F.posexplode(F.split("text", "\n")).alias("line", "content")).select("path", "h", "line", F.lit(1).alias("kind"), F.col("line").alias("at"), tokens(F.col("content")).alias("ts"))
+    likely = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in needed])))
+    lengths = sorted({len(re.findall(TOKEN, text.lower())) for texts in templates.values() for text in texts})
+    passage = ["path", "h", "line", "kind", "at"]
+    parts = likely.unionByName(passages(docs, licence_files, sorted(idf), needed, lengths))
+    counted = parts.select(*passage, F.explode("ts").alias("term")).join(F.broadcast(in_vocabulary), "term").groupBy(*passage, "term", "idf").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
+    by_part = counted.groupBy(*passage).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"))).alias("xs"))
+    # a passage holds at most one entry per template term
+    sized = by_part.withColumn("len", F.expr("sqrt(aggregate(xs, 0D, (a, e) -> a + e.x * e.x))"))
+    matched = sized.select(*passage, "len", F.inline("xs")).join(F.broadcast(table), "term").groupBy(*passage, "len", "notice", "license").agg((F.sum(F.col("x") * F.col("w")) / F.col("len")).alias("score"))
+    good = matched.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
+    best = good.groupBy("path", "h").agg(F.min_by(F.struct("license", "score", "line"), F.struct((-F.col("score")).alias("a"), F.col("line").alias("b"), (F.col("kind") != 1).alias("c"), F.col("notice").alias("d"))).alias("m"))
+    own = write_table(best.select("path", "h", "m.license", "m.score", "m.line"), "license-notices").df()
+
+    directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
+    marks = own.withColumnsRenamed({"path": "o_path", "h": "o_h"})
+    givers = own.join(licence_files, ["path", "h"]).withColumn("dir", directory)
     per_dir = givers.groupBy("dir", "license").agg(F.count("*").alias("n"), F.max("score").alias("s"))
     given = per_dir.groupBy("dir").agg(F.min_by("license", F.struct((-F.col("n")).alias("a"), (-F.col("s")).alias("b"), F.col("license").alias("c"))).alias("given"))
     files_ = docs.select("path", "h").withColumn("dir", directory)

@@ -168,6 +168,16 @@ def test_licences_inherit(spark):
     assert got == {"a/LICENSE": ("Apache-2.0", "notice"), "a/b/x.txt": ("Apache-2.0", "inherited"), "a/c/LICENSE": ("MIT", "notice"), "a/c/d/y.txt": ("MIT", "inherited"), "z.txt": ("CC-BY-NC-4.0", "notice"), "q/none.txt": (None, "none")}
 
 
+def test_licences_wrapped_and_in_line(spark):
+    from stavework.llm.licenses import scan
+
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    prose = "The end of the road and the sea. Licensed under the Apache License, Version 2.0. It went to any of the other places and to the river."
+    files = [("a/LICENSE", "Released\nunder the\nMIT License."), ("a/b.txt", "plain words"), ("g.c", gpl), ("p.txt", prose), ("q.txt", "to the sea and\nof the public road")]
+    got = {r.path: (r.license, r.origin) for r in scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a/LICENSE": ("MIT", "notice"), "a/b.txt": ("MIT", "inherited"), "g.c": ("GPL-3.0", "notice"), "p.txt": ("Apache-2.0", "notice"), "q.txt": (None, "none")}
+
+
 def test_classifier_without_labels_and_held_out(spark, docs):
     from stavework.llm import fm
 

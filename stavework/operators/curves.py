@@ -46,25 +46,28 @@ def containment_pairs(grams: DataFrame, min_shared: int = 50, share: float = 0.5
     return both.where((F.col("shared") >= min_shared) & (F.col("containment") >= share)).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(work_id, component): smallest work reachable over pairs (a, b), by minima over
-    neighbours until nothing changes; each round is checkpointed to spark.checkpoint.dir."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(work_id, component): smallest work reachable over pairs (a, b), by alternating
+    large-star and small-star steps until nothing changes; each round is checkpointed to
+    spark.checkpoint.dir. Nulls are ignored."""
     spark = pairs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stavework-')}")
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component"))
-    for _ in range(rounds):
-        labels = labels.checkpoint()
-        low = edges.join(labels.withColumnsRenamed({"a": "b", "component": "other"}), "b").groupBy("a").agg(F.min("other").alias("other"))
-        moved = labels.join(low, "a").select("a", F.least("component", "other").alias("component"), (F.col("other") < F.col("component")).alias("changed"))
-        changed = moved.where("changed").limit(1).count()
-        labels = moved.drop("changed")
-        if not changed:
-            break
-    return labels.withColumnRenamed("a", "work_id")
+    valid = pairs.select("a", "b").where("a is not null and b is not null")
+    works = valid.select("a").unionByName(valid.select(F.col("b").alias("a"))).distinct()
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    e = valid.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    before, after = None, mark(e)
+    while after[0] and after != before:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        before, after = after, mark(e)
+    return works.join(e.select(F.col("u").alias("a"), F.col("v").alias("low")), "a", "left").select(F.col("a").alias("work_id"), F.coalesce("low", "a").alias("component"))
 
 
 def incipits(grams: DataFrame, pattern: list[int]) -> DataFrame:

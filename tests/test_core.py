@@ -87,3 +87,11 @@ def test_streaming_counts(spark, tmp_path):
     q = daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
     q.awaitTermination(120)
     assert spark.table("daily").agg({"events": "sum"}).first()[0] == events.count()
+
+
+def test_components_of_a_long_chain(spark):
+    from stavework.operators.curves import components
+
+    chain = [(i, i + 1) for i in range(300)] + [(900, 901), (950, 950)]
+    got = {r.work_id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {900: 900, 901: 900, 950: 950}

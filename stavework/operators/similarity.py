@@ -47,13 +47,22 @@ def running_edge_weight(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("ws")).select("src", "dst", F.expr("aggregate(slice(ws, 2, size(ws)), ws[0].w, (s, x) -> (s + x.w) / 2)").alias("w"))
 
 
-def lda_topics(words: DataFrame, k: int = 4, iterations: int = 20, seed: int = 42) -> DataFrame:
-    """(topic, rank, term, weight): top words of topics over column ``words``."""
+def lda_topics(words: DataFrame, k: int = 4, iterations: int = 50, seed: int = 42) -> DataFrame:
+    """(topic, rank, term, weight): top words of topics over column ``words``.
+
+    Every word counts. Each step draws as many rows as there are, with replacement (Spark's
+    sampling); steps are averaged, so all rows shape the result. Rows without words (null or
+    empty) are left out; no words at all give an empty table."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000).fit(words)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[0.5] * k, topicConcentration=0.1).fit(cv.transform(words))
-    vocabulary = F.array(*[F.lit(w) for w in cv.vocabulary])
-    top = model.describeTopics(6).select("topic", F.arrays_zip("termIndices", "termWeights").alias("z"))
-    return top.select("topic", F.posexplode("z").alias("rank", "x")).select("topic", (F.col("rank") + 1).alias("rank"), F.element_at(vocabulary, F.col("x.termIndices") + 1).alias("term"), F.col("x.termWeights").alias("weight"))
+    rows = words.where(F.size("words") > 0).select("words")
+    schema = "topic int, rank int, term string, weight double"
+    size = rows.select(F.explode("words").alias("w")).agg(F.countDistinct("w")).first()[0]
+    if not size:
+        return words.sparkSession.createDataFrame([], schema)
+    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=size).fit(rows)
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, optimizeDocConcentration=False, docConcentration=[0.5] * k, topicConcentration=0.1).fit(cv.transform(rows).select("features"))
+    found = model.describeTopics(6).collect()  # k rows of six words
+    top = [(r.topic, i + 1, cv.vocabulary[t], w) for r in found for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights))]
+    return words.sparkSession.createDataFrame(top, schema)

@@ -95,3 +95,13 @@ def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(900, 901), (950, 950)]
     got = {r.work_id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {900: 900, 901: 900, 950: 950}
+
+
+def test_topics_count_every_word(spark):
+    from stavework.operators.similarity import lda_topics
+
+    # 2100 usual words in every row of the first kind; the words of the second kind are rarer than all of them
+    usual = [f"u{i}" for i in range(2100)]
+    rows = [(usual,)] * 12 + [([f"r{i}" for i in range(6)],)] * 6 + [(None,), ([],)]
+    top = lda_topics(spark.createDataFrame(rows, "words array<string>").repartition(2), k=2).collect()
+    assert len(top) == 12 and sum(r.term.startswith("r") for r in top) == 6

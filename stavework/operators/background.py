@@ -58,13 +58,25 @@ def discounts(counts: DataFrame) -> DataFrame:
     return s.select("n", "tokens", "types", "n1", "n2", F.when(d > 0, F.col("n1") / d).otherwise(0.5).alias("discount"))
 
 
-def kneser_ney(counts: DataFrame, queries: DataFrame, m: int) -> DataFrame:
+def leaving_out(counts: DataFrame, composers: tuple = (), works: tuple = ()) -> DataFrame:
+    """The counts without the works of ``composers`` and without ``works``; null keys stay."""
+    gone = F.lit(False)
+    for key, values in (("composer", composers), ("work_id", works)):
+        if values:
+            gone = gone | F.coalesce(F.col(key).isin(*values), F.lit(False))
+    return counts.where(~gone)
+
+
+def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (), without_works: tuple = ()) -> DataFrame:
     """(query, p): interpolated Kneser-Ney probability of arrays of m symbols.
 
     ``counts`` has the grams of 1..m symbols (column n counts notes: symbols + 1).
     All counts a query needs are fetched by one equi-join on (kind, order, key) and
     folded in an unrolled recursion. Per window: the chain's value times N1 / Nm.
+    The works of the composers ``without`` and ``without_works`` are left out of every
+    count, continuation count and discount.
     """
+    counts = leaving_out(counts, without, without_works)
     t = counts.groupBy((F.col("n") - 1).alias("o"), "gram").agg(F.sum("c").alias("c"))
     kinds = [
         t.select(F.lit("c").alias("kind"), "o", F.col("gram").alias("key"), F.col("c").alias("v")),

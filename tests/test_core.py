@@ -105,3 +105,15 @@ def test_topics_count_every_word(spark):
     rows = [(usual,)] * 12 + [([f"r{i}" for i in range(6)],)] * 6 + [(None,), ([],)]
     top = lda_topics(spark.createDataFrame(rows, "words array<string>").repartition(2), k=2).collect()
     assert len(top) == 12 and sum(r.term.startswith("r") for r in top) == 6
+
+
+def test_kneser_ney_leaves_composers_and_works_out(spark):
+    from stavework.operators import background as bg
+
+    rows = lambda composer, work, symbols: [(n, list(symbols[i : i + n - 1]), composer, work, 1) for n in (2, 3, 4) for i in range(len(symbols) - n + 2)]
+    kept = rows("a", 1, [1, 2, 3, 1, 2, 4, 1, 3]) + rows("b", 2, [2, 3, 1, 1, 2, 2])
+    gone = rows("c", 3, [1, 2, 3, 1, 2, 3, 1, 2, 3, 9, 9]) + rows("b", 4, [1, 2, 3, 3])
+    schema = "n int, gram array<int>, composer string, work_id int, c long"
+    q = spark.createDataFrame([([1, 2, 3],), ([9, 9, 1],), ([3, 1, 2],)], "query array<int>")
+    p = lambda t, **out: {tuple(r.query): r.p for r in bg.kneser_ney(spark.createDataFrame(t, schema), q, 3, **out).collect()}
+    assert p(kept + gone, without=("c",), without_works=(4,)) == pytest.approx(p(kept)) != pytest.approx(p(kept + gone))

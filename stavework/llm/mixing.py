@@ -4,7 +4,8 @@ Targets: every source is offered its share of the budget by weight, is clamped
 at ``max_epochs`` times its size, and the excess is offered again to the others
 until no source is above its clamp. Sampling: a source at ratio r = target/size
 takes every document floor(r) times, and the fraction of r once more from the
-front of a seeded order of its documents, as long as the words fit.
+front of a seeded order of its documents, as long as at least half of the document
+fits: a source misses its target by half of its longest document at most.
 
 The order is cut into hash slices, so a source with a third of all rows is spread
 over all tasks: whole slices are placed by their totals, and only inside a slice
@@ -89,7 +90,7 @@ def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sour
     inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("size").over(inside))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
-    times = F.col("whole") + F.when(F.col("before") + F.col("upto") <= F.col("extra"), 1).otherwise(0)
+    times = F.col("whole") + F.when(F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("extra"), 1).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"), (F.col("size") * times).cast("long").alias("taken"))
 
 

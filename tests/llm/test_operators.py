@@ -126,6 +126,16 @@ def test_mixture(docs, empty):
     assert mixture(empty).count() == 0
 
 
+def test_mixture_meets_targets_within_half_a_document(spark):
+    from stavework.llm.mixing import mixture
+
+    texts = [(0, "w " * 100, "long")] + [(i, "w " * (3 * i), "short") for i in range(1, 9)]
+    rows = mixture(spark.createDataFrame(texts, "doc_id long, text string, source string"), weights=(1, 1), share=1.6, max_epochs=2).collect()
+    for source in ("long", "short"):
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
+
+
 def test_katz_is_normalised(docs, empty):
     from stavework.llm.katz import Discount, Unigrams, score_texts
 

@@ -73,8 +73,8 @@ class Bpe:
         self._finder.make_automaton()
         self._verdicts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, bool))
         self._number = [str(i) for i in range(max(self.text_of) + 1)]
-        self._text = [self.text_of.get(i, "") for i in range(len(self._number))]
-        self.cache: dict[str, tuple[str, str]] = {}
+        self._of_number = {str(i): t for i, t in self.text_of.items()}
+        self.cache: dict[str, str] = {}
         self.cache_words = cache_words
         self.merged_words = 0  # how many distinct words needed exact merging
 
@@ -222,13 +222,13 @@ class Bpe:
         words = list({w for _, p in split for w in p if isinstance(w, str)})
         known: dict[str | int, list[int]] = dict(zip(words, self.encode_words(words)))
         known |= {i: [i] for i in self.special.values()}
-        number, text = self._number, self._text
+        number = self._number
         for r, pieces in split:
             ids = known[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in known[p]]
-            self.cache[r] = (" ".join([number[i] for i in ids]), " ".join([text[i] for i in ids]))
+            self.cache[r] = " ".join([number[i] for i in ids])
 
-    def encode_texts(self, texts: list[str | None]) -> list[tuple[str, str, int]]:
-        """(ids joined by one space, decoded text, number of ids) of each text."""
+    def encode_texts(self, texts: list[str | None]) -> list[tuple[str, int]]:
+        """(ids joined by one space, number of ids) of each text."""
         runs = [_RUNS.findall(t) if _ODD_CUTS.search(t) else t.split() for t in (x or "" for x in texts)]
         if len(self.cache) > self.cache_words:
             self.cache.clear()
@@ -242,17 +242,18 @@ class Bpe:
                 got[k] = list(map(get, runs[k]))
         out = []
         for g in got:
-            if g:
-                ids, decoded = zip(*g)
-                # runs of no word (nothing but dropped characters) leave no trace
-                if not all(ids):
-                    ids, decoded = filter(None, ids), filter(None, decoded)
-                line = " ".join(ids)
-                out.append((line, " ".join(decoded), line.count(" ") + 1 if line else 0))
-            else:
-                out.append(("", "", 0))
+            # runs of no word (nothing but dropped characters) leave no trace
+            line = " ".join(g if all(g) else filter(None, g))
+            out.append((line, line.count(" ") + 1 if line else 0))
         return out
 
+    def decode_numbers(self, ids: str) -> str:
+        """The text of decimal ids joined by one space: their tokens joined by one space (the
+        file has no decoder); ids that no token has are left out."""
+        get = self._of_number.get
+        texts = list(map(get, ids.split(" "))) if ids else []
+        return " ".join(texts if None not in texts else [t for t in texts if t is not None])
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte -> letter of byte-level vocabularies: printable ones stand for themselves,
@@ -281,34 +282,47 @@ def _pieces_of(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple
 
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded, n_tokens): decimal ids of the whole text joined by one
-    space, the text that decoding them gives, their number.
+    """(doc_id, ids, n_tokens): decimal ids of the whole text joined by one space, their number.
 
-    Null and blank texts have no ids and decode to the empty text. Repeated rows are
-    encoded alike, an empty table gives an empty result. ``path`` must be readable
-    on the executors (it is part of the installed tokenizer files).
+    Null and blank texts have no ids. Repeated rows are encoded alike, an empty table
+    gives an empty result. ``path`` must be readable on the executors (it is part of the
+    installed tokenizer files).
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("decoded", pa.string()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _pieces_of(texts):
-                ids, decoded, n = map(list, zip(*tok.encode_texts(texts[a:b])))
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())], schema=schema)
+                ids, n = map(list, zip(*tok.encode_texts(texts[a:b])))
+                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(ids, pa.string()), pa.array(n, pa.int64())], schema=schema)
         # workers are reused by other stages: the cache goes with its task
         tok.cache.clear()
         trim_memory()
 
     rows = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, ids string, decoded string, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, ids string, n_tokens long")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of ``encode`` with ``decoded``, the text that their ids stand for.
+
+    Only the ids are read: null or empty ids decode to the empty text, ids that no token has
+    are left out, special tokens are kept. Repeated rows are decoded alike.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path)
+        for batch in batches:
+            ids = batch.column("ids")
+            for a, b in _pieces_of(ids.to_pylist()):
+                part = batch.slice(a, b - a)
+                texts = [tok.decode_numbers(i or "") for i in part.column("ids").to_pylist()]
+                yield pa.record_batch([*part.select(["doc_id", "ids", "n_tokens"]).columns, pa.array(texts, pa.string())], schema=schema)
 
-def decode_ids(path: str, ids: list[int]) -> str:
-    """The text of a list of ids: tokens joined by one space (the file has no decoder)."""
-    tok = tokenizer(path)
-    return " ".join([tok.text_of[i] for i in ids if i in tok.text_of])
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded string")
 
 
 def token_ids(ids: str = "ids"):

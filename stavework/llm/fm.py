@@ -6,7 +6,8 @@ so all pairwise interactions cost time linear in the number of features.
 
 It is fitted on the driver on a bounded sample (``sample_rows`` labelled rows, the
 first by a hash of the id), and then scores every whole text on the executors.
-Labels, language, source and id are never inputs.
+Labels, language, source and id are never inputs. Metadata are numeric columns that the
+caller names; a null, and a value that is not finite, is a bin of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from stavework.llm._env import folded, project
 from stavework.llm._words import chunks, words_of
 
-WORD_BITS, BINS = 14, 12
+WORD_BITS, BINS = 14, 13
 #: Byte classes: space, line feed, lower, upper, digit, ASCII punctuation, control, non-ASCII.
 _CLASS = np.full(256, 7, np.uint8)
 _CLASS[:128] = 6
@@ -62,7 +63,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class Model:
-    """Weights of the machine; ``edges`` are the bins of the statistics."""
+    """Weights of the machine; ``edges`` are the bins of the statistics and the metadata, the
+    last bin of each is for values that are not there."""
 
     def __init__(self, edges: np.ndarray, b: float, w: np.ndarray, v: np.ndarray):
         self.edges, self.b, self.w, self.v = edges, b, w, v
@@ -70,7 +72,7 @@ class Model:
     def inputs(self, dense: np.ndarray, pointer: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row pointer, feature and value with one bin per statistic beside the words."""
         n, k = dense.shape
-        bins = np.stack([np.searchsorted(self.edges[j], dense[:, j], side="right") for j in range(k)], 1) + np.arange(k) * BINS + (1 << WORD_BITS)
+        bins = np.stack([np.where(np.isfinite(dense[:, j]), np.searchsorted(self.edges[j], dense[:, j], side="right"), BINS - 1) for j in range(k)], 1) + np.arange(k) * BINS + (1 << WORD_BITS)
         size = np.diff(pointer) + k
         out = np.concatenate(([0], np.cumsum(size)))
         f, x = np.empty(out[-1], np.int64), np.empty(out[-1], np.float32)
@@ -88,17 +90,25 @@ class Model:
         s, q = np.add.reduceat(vx, out[:-1]), np.add.reduceat(vx * vx, out[:-1])
         return self.b + np.add.reduceat(self.w[f] * x, out[:-1]).astype(float) + 0.5 * (s * s - q).sum(1)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes], metadata: np.ndarray | None = None) -> np.ndarray:
+        """Probability of label 1; ``metadata``: one row of numbers per text."""
         if not texts:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.margin(*self.inputs(*features(texts))), -40, 40)))
+        dense, *words = features(texts)
+        if metadata is not None:
+            dense = np.hstack((dense, metadata))
+        return 1 / (1 + np.exp(-np.clip(self.margin(*self.inputs(dense, *words)), -40, 40)))
 
 
 def fit(dense: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rank: int = 8, epochs: int = 12, least_steps: int = 800, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> Model:
     """Adam on the logistic loss. Without both classes: the smoothed share of ones."""
     rng = np.random.default_rng(seed)
-    k = len(STATS)
-    edges = np.quantile(dense, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(y) else np.zeros((k, BINS - 1))
+    k = dense.shape[1]
+    edges = np.zeros((k, BINS - 2))
+    for j in range(k):
+        there = dense[np.isfinite(dense[:, j]), j]
+        if len(there):
+            edges[j] = np.quantile(there, np.linspace(0, 1, BINS)[1:-1])
     size = (1 << WORD_BITS) + k * BINS
     prior = (y.sum() + 1) / (len(y) + 2)
     m = Model(edges, float(np.log(prior / (1 - prior))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
@@ -138,39 +148,56 @@ def fit(dense: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndar
     return m
 
 
-def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for label, texts in chunks(pdf.label.tolist(), pdf.text.tolist()):
-            dense, p, bucket, value = features(texts)
-            yield pd.DataFrame({"label": label, "stats": list(dense), "bucket": [bucket[a:b] for a, b in zip(p, p[1:])], "value": [value[a:b] for a, b in zip(p, p[1:])]})
+def _numbers(pdf: pd.DataFrame, metadata: tuple[str, ...]) -> np.ndarray:
+    """Metadata of each row; what is not there is not a number."""
+    return np.column_stack([np.zeros((len(pdf), 0)), *[pd.to_numeric(pdf[f"meta_{k}"], errors="coerce").to_numpy(float, na_value=np.nan) for k in range(len(metadata))]])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample_rows: int = 6000, **options) -> Model:
+def _feature_rows(metadata: tuple[str, ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            numbers = _numbers(pdf, metadata)
+            for at, texts in chunks(list(range(len(pdf))), pdf.text.tolist()):
+                dense, p, bucket, value = features(texts)
+                dense = np.hstack((dense, numbers[at]))
+                yield pd.DataFrame({"label": pdf.label.iloc[at].tolist(), "stats": list(dense), "bucket": [bucket[a:b] for a, b in zip(p, p[1:])], "value": [value[a:b] for a, b in zip(p, p[1:])]})
+
+    return run
+
+
+def _metadata_columns(metadata: tuple[str, ...]) -> dict:
+    return {f"meta_{k}": F.col(f"`{c}`").cast("double") for k, c in enumerate(metadata)}
+
+
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample_rows: int = 6000, metadata: tuple[str, ...] = (), **options) -> Model:
     """Fit on at most ``sample_rows`` labelled documents whose fold is not 0.
 
     Rows with a null label or id are left out; a document labelled several times
-    takes its largest label; a null text is an empty text.
+    takes its largest label; a null text is an empty text. ``metadata``: numeric columns
+    of ``docs`` that are inputs beside the words and the statistics.
     """
     y = project(labels, id=doc_id, label=label).where("id is not null and label is not null").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     sample = y.where(folded(F.col("id"), folds) != 0).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample_rows)
     # bounded by sample_rows rows of two numbers
-    rows = project(docs, id=doc_id, text=text).join(F.broadcast(sample), "id").select("label", "text")
-    got = rows.mapInPandas(_feature_rows, "label int, stats array<double>, bucket array<long>, value array<float>").toPandas()
+    rows = project(docs, id=doc_id, text=text, **_metadata_columns(metadata)).join(F.broadcast(sample), "id").drop("id")
+    got = rows.mapInPandas(_feature_rows(metadata), "label int, stats array<double>, bucket array<long>, value array<float>").toPandas()
     got = got.iloc[np.lexsort((got.bucket.map(len), got.stats.map(lambda s: s[0]), got.label))] if len(got) else got
-    dense = np.array(got.stats.tolist(), float).reshape(-1, len(STATS))
+    dense = np.array(got.stats.tolist(), float).reshape(-1, len(STATS) + len(metadata))
     return fit(dense, [(np.asarray(b, np.int64), np.asarray(v, np.float32)) for b, v in zip(got.bucket, got.value)], got.label.to_numpy(float), **options)
 
 
-def classify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
+def classify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, folds: int = 5, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; whole texts, null as empty.
 
-    Repeated rows are scored alike; an empty table gives an empty result.
+    ``metadata`` as in training. Repeated rows are scored alike; an empty table gives an
+    empty result.
     """
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for ids, texts in chunks(pdf.doc_id.tolist(), pdf.text.tolist()):
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": model.score(texts)})
+            numbers = _numbers(pdf, metadata)
+            for at, texts in chunks(list(range(len(pdf))), pdf.text.tolist()):
+                yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[at].astype("Int64").to_numpy(), "score": model.score(texts, numbers[at])})
 
-    out = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(scored, "doc_id long, score double")
+    out = project(docs, doc_id=doc_id, text=text, **_metadata_columns(metadata)).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(folded(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -100,8 +100,9 @@ def passages(files: DataFrame, whole: DataFrame, vocabulary: list[str], needed:
     return runs.select(columns).unionByName(windows.select(columns)).unionByName(entire.select(columns)).where(likely)
 
 
-def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_file: str | None = None, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """One row per file: path, license, score, origin, from_dir, line (of its notice).
+def scan(files: DataFrame, *, path: str = "path", text: str = "text", carry: tuple[str, ...] = (), licence_file: str | None = None, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """One row per file: path, license, score, origin, from_dir, line (of its notice), and
+    the columns ``carry`` of the file as they are.
 
     origin is 'notice' (its own best passage; ties: the first line, then single lines
     before other passages, then the order of the templates), 'inherited' (from the nearest ancestor directory with a licence
@@ -112,7 +113,8 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_fi
     repeated rows are answered alike; an empty table gives an empty result.
     """
     spark = files.sparkSession
-    docs = project(files, path=path, text=text).select(F.coalesce("path", F.lit("")).alias("path"), "text").withColumn("h", F.xxhash64("text"))
+    kept = [f"__carry_{k}" for k in range(len(carry))]
+    docs = project(files, path=path, text=text, **dict(zip(kept, carry))).select(F.coalesce("path", F.lit("")).alias("path"), "text", *kept).withColumn("h", F.xxhash64("text"))
     terms = template_terms(templates)
     vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, _, t, _ in terms})], "term string")
     # one row per template term, a fixed number
@@ -151,7 +153,7 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_fi
     givers = own.join(licence_files, ["path", "h"]).withColumn("dir", directory)
     per_dir = givers.groupBy("dir", "license").agg(F.count("*").alias("n"), F.max("score").alias("s"))
     given = per_dir.groupBy("dir").agg(F.min_by("license", F.struct((-F.col("n")).alias("a"), (-F.col("s")).alias("b"), F.col("license").alias("c"))).alias("given"))
-    files_ = docs.select("path", "h").withColumn("dir", directory)
+    files_ = docs.select("path", "h", *kept).withColumn("dir", directory)
     # ancestors of each distinct directory: itself, its parents, the root
     ancestors = files_.select("dir").distinct().withColumn("steps", F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/")))
     ancestors = ancestors.select("dir", F.explode(F.expr("sequence(0, size(steps))")).alias("depth"), "steps").select("dir", "depth", F.expr("array_join(slice(steps, 1, depth), '/')").alias("up"))
@@ -165,4 +167,5 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", licence_fi
         F.when(mine, "notice").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~mine, F.col("from_dir")).alias("from_dir"),
         F.col("line").cast("int").alias("line"),
+        *[F.col(k).alias(c) for k, c in zip(kept, carry)],
     )

@@ -30,7 +30,8 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    path = _tokenizer("word_bpe_49k.json")
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -43,9 +44,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files ``source/lang/doc_id.txt``; texts of at most 24 tokens that are a
     notice stand for their directory's licence file."""
-    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
-    found = licenses.scan(docs, licence_file="n_tokens <= 24")
-    return found.select(F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).cast("long").alias("doc_id"), "license", "score", "origin", "from_dir")
+    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed")), F.lit(".txt"))))
+    return licenses.scan(docs, carry=("doc_id",), licence_file="n_tokens <= 24").select("doc_id", "license", "score", "origin", "from_dir")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return fm.classify(docs, fm.train(docs, _table(spark, sf_dir, "labels"), label="quality", folds=5), threshold=0.3, folds=5)
+    model = fm.train(docs, _table(spark, sf_dir, "labels"), label="quality", folds=5, metadata=("n_chars",))
+    return fm.classify(docs, model, threshold=0.3, folds=5, metadata=("n_chars",))
 
 
 def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ from stavework.llm._env import write_table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdict = fm.classify(docs, fm.train(docs, labels, label="quality"), threshold=0.3)
+    model = fm.train(docs, labels, label="quality", metadata=("n_chars",))
+    verdict = fm.classify(docs, model, threshold=0.3, metadata=("n_chars",))
     rejected = verdict.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(rejected, F.col("doc_id") == F.col("__id"), "left_anti")
 
@@ -44,7 +45,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digests of both directions."""
     import public_tokenizers
 
-    done = bpe.encode(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    done = bpe.decode(bpe.encode(docs, path), path)
     return done.select("doc_id", "n_tokens", bpe.token_ids("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -25,9 +25,11 @@ _live: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one where none is set."""
+    """The shared folder of the session; a local one where none is set and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='stavework-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -74,6 +76,12 @@ def write_table(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     return Table(spark, path, df.schema)
 
 
+def drop(*tables: Table) -> None:
+    """Delete tables that nothing reads any more."""
+    for t in tables:
+        t.drop()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files whose results have been written to a table."""
     gc.collect()

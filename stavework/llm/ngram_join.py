@@ -4,13 +4,17 @@ Every text becomes its set of distinct word shingles. In a global order of token
 (rare ones first, by a sketch of frequencies; ties by hash) two sets of similarity t
 share a token among their first n - ceil(t n) + 1, and two tokens once these
 prefixes are extended by one. So the index holds
-  * single tokens where few prefixes hold them, and
-  * two-token combinations where many do, nested: the first token is the key of the
-    exchange, the second is intersected inside the group, and a pair belongs to the
-    first token it shares there, so it is verified once.
-Groups of single tokens are bounded and give candidate pairs; groups of combinations
-are cut into blocks, are verified by counting inside their task and emit a
-spanning forest only. Equal sets are one vertex throughout.
+  * single tokens where few prefixes hold them: groups of bounded size give pairs with
+    the number of tokens they share, and a pair whose prefixes cannot reach the
+    similarity any more is dropped before its sets are fetched;
+  * two-token combinations where many do. First every document of such a token is
+    compared with the token's smallest one, which merges groups of near copies in
+    linear time. What is left are the pairs of different parts: the first token is the
+    key of the exchange, the second is intersected inside the group, and a pair
+    belongs to the first token it shares there. Groups are cut into blocks; blocks of
+    one and the same part never meet; sets are fetched only by documents that share a
+    combination, and a block emits a spanning forest.
+Equal sets are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import free_shuffles, project, write_table
+from stavework.llm._env import drop, free_shuffles, project, write_table
 from stavework.llm._words import U, chunks, components, distinct_sorted, rolling, words_of
 from stavework.llm.components import connected_components
 
@@ -153,31 +157,11 @@ def _forest(names_a: np.ndarray, names_b: np.ndarray, linked: np.ndarray) -> pd.
 NO_LINKS = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 
-def _prune_pairs(num: int, den: int):
-    """Pairs whose prefixes still allow the similarity: up to the smaller of their last
-    tokens the prefixes are complete, so what they do not share there is not shared."""
-
-    def run(key, pairs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
-            return pairs
-        held = {i: (n, np.asarray(p)) for i, n, p in zip(known.doc_id, known.n, known.prefix)}
-        good = np.zeros(len(pairs), bool)
-        for k, (a, b) in enumerate(zip(pairs.a, pairs.b)):
-            (na, x), (nb, y) = held[a], held[b]
-            end = min(x[-1], y[-1])
-            x, y = x[: np.searchsorted(x, end, side="right")], y[: np.searchsorted(y, end, side="right")]
-            most = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) + min(na - len(x), nb - len(y)) if len(x) else min(na, nb - len(y))
-            good[k] = most * den >= num * (na + nb - most)
-        return pairs[good]
-
-    return run
-
-
 def _verify_pairs(num: int, den: int):
     def run(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
             return NO_LINKS
-        held = {i: np.frombuffer(s, U) for i, s in zip(sets.doc_id, sets.s)}
+        held = {i: np.frombuffer(s, U) for i, s in sorted(zip(sets.doc_id, sets.s), reverse=True)}
         found = []
         for a, mates in pairs.groupby("a").b:
             others = mates.to_numpy()
@@ -191,26 +175,41 @@ def _verify_pairs(num: int, den: int):
     return run
 
 
+def _first_here(left: pd.DataFrame, right: pd.DataFrame, token: int) -> np.ndarray:
+    """Pairs of different parts that share two frequent tokens, ``token`` the first of them."""
+    both = pd.concat((left, right))
+    heads = [np.sort(np.asarray(f, np.int64)) for f in both.heads]
+    cut = len(left)
+    shared = overlaps(heads, cut)
+    before = overlaps([h[h < token] for h in heads], cut)
+    return (shared > 1.5) & (before < 0.5) & (left.part.to_numpy()[:, None] != right.part.to_numpy()[None, :])
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    left = pdf[pdf.side == 0]
+    return left, left if bool(pdf.same.iloc[0]) else pdf[pdf.side == 1]
+
+
+def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a block's documents that take part in a pair there."""
+    left, right = _sides(pdf)
+    if not len(left) or not len(right):
+        return pdf[:0]
+    mine = _first_here(left, right, int(pdf.token.iloc[0]))
+    rows = [left[mine.any(1)], right[mine.any(0)]]
+    return rows[0] if left is right else pd.concat(rows)
+
+
 def _verify_blocks(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token = int(pdf.token.iloc[0])
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if bool(pdf.same.iloc[0]):
-            right = left
+        left, right = _sides(pdf)
         if not len(left) or not len(right):
             return NO_LINKS
-        both = pd.concat((left, right))
-        heads = [np.sort(np.asarray(f, np.int64)) for f in both.heads]
-        cut = len(left)
-        shared = overlaps(heads, cut)
-        before = overlaps([h[h < token] for h in heads], cut)
-        mine = (shared > 1.5) & (before < 0.5)
-        if not mine.any():
-            return NO_LINKS
-        sets = [np.frombuffer(s, U) for s in both.s]
-        n = np.array([len(s) for s in sets])
+        mine = _first_here(left, right, int(pdf.token.iloc[0]))
+        sets = [np.frombuffer(s, U) for s in pd.concat((left, right)).s]
+        n, cut = np.array([len(s) for s in sets]), len(left)
         linked = _linked(overlaps(sets, cut), n[:cut, None], n[None, cut:], num, den) & mine
-        return _forest(left.doc_id.to_numpy(), right.doc_id.to_numpy(), linked & (left.doc_id.to_numpy()[:, None] != right.doc_id.to_numpy()[None, :]))
+        return _forest(left.doc_id.to_numpy(), right.doc_id.to_numpy(), linked)
 
     return run
 
@@ -236,51 +235,86 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     classes = spark.sparkContext.broadcast(frequency_classes(texts, words))  # 4 MB, whatever the input
     free_shuffles(spark)
-    all_table = write_table(texts.mapInArrow(_prefixes(words, classes, num, den), "doc_id long, n long, key binary, prefix array<long>"), "shingle-prefixes")
-    rows = all_table.df()
-    heads = write_table(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "distinct-sets").df()
+    with_prefixes = write_table(texts.mapInArrow(_prefixes(words, classes, num, den), "doc_id long, n long, key binary, prefix array<long>"), "shingle-prefixes")
+    rows = write_table(with_prefixes.df().select("doc_id", "n", "key", F.element_at("prefix", -1).alias("last")), "shingle-sets").df()
+    known = rows.where("key is not null and doc_id is not null")
+    heads = write_table(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "distinct-sets").df()
     # a vertex is a set's smallest document; the prefixes of the others are left out
-    copies = write_table(rows.select("doc_id", "key").join(heads, "key").where("doc_id <> rep").select(F.col("doc_id").alias("copy")).distinct(), "copies").df()
-    small = copies.count() * 8 <= BROADCAST_BYTES
-    reps = rows.where("key is not null and doc_id is not null").join(F.broadcast(copies) if small else copies, F.col("doc_id") == F.col("copy"), "left_anti").select("doc_id", "n", "prefix")
-    postings = reps.select(F.explode("prefix").alias("token"), "doc_id", "n")
-    counts = write_table(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens").df()
+    copies = write_table(known.join(heads, "key").where("doc_id <> rep").select(F.col("doc_id").alias("copy")).distinct(), "copies")
+    small = copies.df().count() * 8 <= BROADCAST_BYTES
+    not_copy = lambda t: t.join(F.broadcast(copies.df()) if small else copies.df(), F.col("doc_id") == F.col("copy"), "left_anti")
+    # a set of one token is similar to its equals only
+    postings = not_copy(with_prefixes.df().where("key is not null and doc_id is not null and n > 1")).select(F.explode("prefix").alias("token"), "doc_id", "n")
+    counts = write_table(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
     free_shuffles(spark)
-    held = write_table(postings.join(counts, "token"), "shared-postings").df()
-    # single tokens: pairs of bounded groups
-    few = held.where(F.col("df") <= rare)
+    held = write_table(postings.join(counts.df(), "token"), "shared-postings")
+    drop(with_prefixes, counts)
+    free_shuffles(spark)
+
+    # documents with frequent tokens in their extended prefix
+    many = held.df().where(F.col("df") > rare)
+    frequent = write_table(many.groupBy("doc_id", "n").agg(F.collect_list("token").alias("heads")), "frequent-heads")
+    # single tokens: pairs of bounded groups, with the number of tokens they share
+    few = held.df().where(F.col("df") <= rare)
     x, y = few.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") < F.col("b"))
-    pairs = write_table(x.join(y, "token").where(fits).select("a", "b").distinct(), "candidate-pairs").df()
+    pairs = write_table(x.join(y, "token").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")), "candidate-pairs")
+    ends = known.groupBy("doc_id", "n").agg(F.max("last").alias("last")).join(frequent.df().select("doc_id", "n", F.size("heads").alias("f")), ["doc_id", "n"], "left").select("doc_id", "n", "last", F.coalesce("f", F.lit(0)).alias("f"))
+    ends = write_table(ends, "prefix-ends")
+    bounded = pairs.df()
+    for k in "ab":
+        bounded = bounded.join(ends.df().toDF(k, f"n{k}", f"last_{k}", f"f{k}"), [k, f"n{k}"])
+    # what both hold up to the smaller of their last tokens is shared in the prefixes; behind it
+    # lie ceil(t n) - 2 tokens of the set whose prefix ends there
+    behind = lambda n: F.greatest(F.ceil(F.col(n) * num / den) - 2, F.lit(0))
+    most = F.col("c") + F.least("fa", "fb") + F.when(F.col("last_a") <= F.col("last_b"), behind("na")).otherwise(behind("nb"))
+    close = bounded.where(most * den >= (F.col("na") + F.col("nb") - most) * num).select("a", "b")
+    # frequent tokens: every document with the token's smallest one
+    least = many.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("a"))
+    to_least = many.join(least, "token").select(F.col("a.doc_id").alias("a"), F.col("a.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).where(fits).select("a", "b")
+    close = write_table(close.unionByName(to_least).distinct(), "close-pairs")
+    drop(pairs, ends)
     # neighbours of one smallest neighbour are verified together; large gatherings in parts
-    lead = pairs.groupBy("b").agg(F.min("a").alias("lead"))
-    labelled = pairs.join(lead.withColumnRenamed("b", "x"), F.col("a") == F.col("x"), "left").select(F.coalesce("lead", "a").alias("lead"), "a", "b")
+    lead = close.df().groupBy("b").agg(F.min("a").alias("lead"))
+    labelled = close.df().join(lead.withColumnRenamed("b", "x"), F.col("a") == F.col("x"), "left").select(F.coalesce("lead", "a").alias("lead"), "a", "b")
     crowd = labelled.groupBy("lead").agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts"))
-    tasks = write_table(labelled.join(crowd, "lead").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).select("lead", "part", "a", "b"), "pair-tasks").df()
-    ends = tasks.select("lead", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
-    mine = write_table(_joined(reps, ends.select("id").distinct(), ends.count(), 8, F.col("doc_id") == F.col("id")).select("doc_id", "n", "prefix"), "pair-prefixes").df()
-    known = ends.join(mine, F.col("id") == F.col("doc_id")).select(F.col("lead").alias("to_lead"), F.col("part").alias("to_part"), "doc_id", "n", "prefix")
-    tasks = write_table(tasks.groupBy("lead", "part").cogroup(known.groupBy("to_lead", "to_part")).applyInPandas(_prune_pairs(num, den), "lead long, part int, a long, b long"), "close-pairs").df()
+    tasks = write_table(labelled.join(crowd, "lead").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).select("lead", "part", "a", "b"), "pair-tasks")
+    wanted = write_table(tasks.df().select(F.explode(F.array("a", "b")).alias("id")).unionByName(frequent.df().where(F.size("heads") > 1).select(F.col("doc_id").alias("id"))).distinct(), "wanted-sets")
+    drop(close)
     free_shuffles(spark)
-    # combinations: documents with two common tokens in their extended prefix
-    many = held.where(F.col("df") > rare)
-    frequent = many.groupBy("doc_id").agg(F.collect_list("token").alias("heads"), F.max("n").alias("n")).where(F.size("heads") > 1)
-    frequent = write_table(frequent, "frequent-heads").df()
-    wanted = write_table(tasks.select(F.explode(F.array("a", "b")).alias("id")).unionByName(frequent.select(F.col("doc_id").alias("id"))).distinct(), "wanted-sets").df()
-    sets = write_table(_joined(texts, wanted, wanted.count(), 16, F.col("doc_id") == F.col("id")).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(_sets(words), "doc_id long, s binary"), "sets").df()
-    needed = tasks.select("lead", "part", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id").select(F.col("lead").alias("to_lead"), F.col("part").alias("to_part"), "doc_id", "s")
-    from_pairs = tasks.groupBy("lead", "part").cogroup(needed.groupBy("to_lead", "to_part")).applyInPandas(_verify_pairs(num, den), "a long, b long")
-    nested = frequent.select("doc_id", "heads", "n", F.explode("heads").alias("token"))
-    most = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_TOKENS)  # long sets make smaller blocks
-    sizes = nested.groupBy("token").agg(F.ceil(most).cast("int").alias("blocks"))
-    placed = nested.drop("n").join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("t", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(k, j) as x, greatest(k, j) as y, int(j < k) as side))")))
-    blocks = placed.join(sets, "doc_id").select("token", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), (F.col("t.x") == F.col("t.y")).alias("same"), "doc_id", "heads", "s")
-    from_blocks = blocks.groupBy("token", "x", "y").applyInPandas(_verify_blocks(num, den), "a long, b long")
-    links = write_table(from_pairs.unionByName(from_blocks).distinct(), "links").df()
+    sets = write_table(_joined(texts, wanted.df(), wanted.df().count(), 16, F.col("doc_id") == F.col("id")).select("doc_id", "text").mapInPandas(_sets(words), "doc_id long, s binary"), "sets")
+    needed = tasks.df().select("lead", "part", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.df(), "doc_id").select(F.col("lead").alias("to_lead"), F.col("part").alias("to_part"), "doc_id", "s")
+    links = [write_table(tasks.df().groupBy("lead", "part").cogroup(needed.groupBy("to_lead", "to_part")).applyInPandas(_verify_pairs(num, den), "a long, b long"), "pair-links")]
+    drop(tasks, wanted)
     free_shuffles(spark)
-    parts = connected_components(links, "a", "b")
-    named = heads.join(parts, F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("component", "rep").alias("component"))
+    parts = write_table(connected_components(links[0].df(), "a", "b"), "parts")
+
+    # combinations: documents with two frequent tokens, of different parts
+    placed = frequent.df().where(F.size("heads") > 1).join(parts.df(), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "heads", "n", F.coalesce("component", "doc_id").alias("part"))
+    nested = write_table(placed.select("doc_id", "heads", "n", "part", F.explode("heads").alias("token")), "combinations")
+    weight = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_TOKENS).alias("w")  # long sets make smaller blocks
+    by_part = nested.df().groupBy("token", "part").agg(weight)
+    # the largest part of a token meets the others, not itself
+    plan = by_part.groupBy("token").agg(F.max_by("part", F.struct("w", "part")).alias("main"), F.max("w").alias("main_w"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+    plan = plan.select("token", "main", F.ceil(F.col("w") - F.col("main_w")).cast("int").alias("others"), F.ceil("main_w").cast("int").alias("mains"))
+    plan = write_table(plan.withColumn("others", F.greatest("others", F.lit(1))), "combination-blocks")
+    met = nested.df().join(plan.df(), "token").withColumn("h", F.xxhash64("doc_id"))
+    rest = met.where("part <> main").withColumn("k", F.pmod("h", F.col("others")).cast("int"))
+    rest = rest.withColumn("t", F.explode(F.expr("concat(transform(sequence(0, others - 1), j -> struct(least(k, j) as x, greatest(k, j) as y, int(j < k) as side)), transform(sequence(others, others + mains - 1), j -> struct(k as x, j as y, 0 as side)))")))
+    most_ = met.where("part = main").withColumn("k", F.col("others") + F.pmod("h", F.col("mains")).cast("int"))
+    most_ = most_.withColumn("t", F.explode(F.expr("transform(sequence(0, others - 1), j -> struct(j as x, k as y, 1 as side))")))
+    columns = ["token", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), (F.col("t.x") == F.col("t.y")).alias("same"), "doc_id", "part", "heads"]
+    schema = "token long, x int, y int, side int, same boolean, doc_id long, part long, heads array<long>"
+    shared = write_table(rest.select(*columns).unionByName(most_.select(*columns)).groupBy("token", "x", "y").applyInPandas(_needed, schema), "shared-combinations")
+    drop(nested, plan)
+    links.append(write_table(shared.df().join(sets.df(), "doc_id").groupBy("token", "x", "y").applyInPandas(_verify_blocks(num, den), "a long, b long").distinct(), "combination-links"))
+    drop(held, frequent, shared, sets, copies)
+    free_shuffles(spark)
+
+    # parts that combinations link become one
+    label = lambda t, k: t.join(parts.df().toDF("v", "c"), F.col(k) == F.col("v"), "left").withColumn(k, F.coalesce("c", k)).drop("v", "c")
+    joined = connected_components(label(label(links[1].df(), "a"), "b"), "a", "b").toDF("p", "whole")
+    named = heads.join(parts.df(), F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("component", "rep").alias("part")).join(joined, F.col("part") == F.col("p"), "left").select("key", F.coalesce("whole", "part").alias("component"))
     full = rows.where("key is not null").select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
     empty = rows.where("key is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

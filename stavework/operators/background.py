@@ -6,7 +6,7 @@ works or composers out is a filtered sum, never a rebuilt table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stavework.functions.symbols import good_turing_alpha, laplace
@@ -67,24 +67,16 @@ def leaving_out(counts: DataFrame, composers: tuple = (), works: tuple = ()) ->
     return counts.where(~gone)
 
 
-def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (), without_works: tuple = ()) -> DataFrame:
-    """(query, p): interpolated Kneser-Ney probability of arrays of m symbols.
+def _continuations(t: DataFrame, by: list[str], carry: list) -> DataFrame:
+    """(by, kind, o, key, carry): what each type of order o counts for, beside itself: as a
+    follower of its prefix (f), before its suffix (s) and around its middle (m)."""
+    part = lambda kind, o, a, n, least: t.where(F.col("o") >= least).select(*by, F.lit(kind).alias("kind"), o.alias("o"), F.slice("gram", F.lit(a), n).alias("key"), *carry)
+    o = F.col("o")
+    return part("f", o, 1, o - 1, 2).unionByName(part("s", o - 1, 2, o - 1, 2)).unionByName(part("m", o - 1, 2, o - 2, 3))
 
-    ``counts`` has the grams of 1..m symbols (column n counts notes: symbols + 1).
-    All counts a query needs are fetched by one equi-join on (kind, order, key) and
-    folded in an unrolled recursion. Per window: the chain's value times N1 / Nm.
-    The works of the composers ``without`` and ``without_works`` are left out of every
-    count, continuation count and discount.
-    """
-    counts = leaving_out(counts, without, without_works)
-    t = counts.groupBy((F.col("n") - 1).alias("o"), "gram").agg(F.sum("c").alias("c"))
-    kinds = [
-        t.select(F.lit("c").alias("kind"), "o", F.col("gram").alias("key"), F.col("c").alias("v")),
-        t.where("o > 1").groupBy("o", F.expr("slice(gram, 1, o - 1)").alias("key")).agg(F.count("*").alias("v")).select(F.lit("f").alias("kind"), "o", "key", "v"),
-        t.where("o > 1").groupBy((F.col("o") - 1).alias("o"), F.expr("slice(gram, 2, o - 1)").alias("key")).agg(F.count("*").alias("v")).select(F.lit("s").alias("kind"), "o", "key", "v"),
-        t.where("o > 2").groupBy((F.col("o") - 1).alias("o"), F.expr("slice(gram, 2, o - 2)").alias("key")).agg(F.count("*").alias("v")).select(F.lit("m").alias("kind"), "o", "key", "v"),
-    ]
-    table = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+
+def _slots(m: int) -> list[tuple[str, int, int, int]]:
+    """(kind, order, start, length) of every count that the chain of a window of m symbols needs."""
     needs = []
     for k in range(1, m + 1):
         needs += [("c", k, 1, k), ("f", k, 1, k - 1)] if k > 1 else [("c", 1, 1, 1)]
@@ -92,16 +84,19 @@ def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (
             needs.append(("s", j, k - j + 1, j))
             if j > 1:
                 needs += [("m", j, k - j + 1, j - 1), ("f", j, k - j + 1, j - 1)]
-    wanted = queries.select("query", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(o).alias("o"), F.slice("query", a, n).alias("key"), F.lit(f"{kind}{o}_{a}_{n}").alias("slot")) for kind, o, a, n in sorted(set(needs))])).alias("x")).select("query", "x.*")
-    got = wanted.join(table, ["kind", "o", "key"]).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("h"))
-    stats = discounts(counts).select((F.col("n") - 1).alias("o"), "tokens", "types", "discount")
-    # one row: scalars of at most m orders
-    scalars = stats.agg(*[F.coalesce(F.max(F.when(F.col("o") == o, F.col(c))), F.lit(0.5 if x == "D" else 0)).cast("double").alias(f"{x}{o}") for o in range(1, m + 1) for x, c in (("N", "tokens"), ("V", "types"), ("D", "discount"))])
-    rows = queries.select("query").join(got, "query", "left").crossJoin(F.broadcast(scalars))
+    return sorted(set(needs))
+
+
+def _wanted(queries: DataFrame, by: list[str], m: int) -> DataFrame:
+    slots = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(o).alias("o"), F.slice("query", a, n).alias("key"), F.lit(f"{kind}{o}_{a}_{n}").alias("slot")) for kind, o, a, n in _slots(m)])
+    return queries.select(*by, "query", F.explode(slots).alias("x")).select(*by, "query", "x.*")
+
+
+def _chain(m: int, window: bool) -> Column:
+    """The interpolated chain as one expression over h (slot -> count) and N1.., V1.., D1.. ."""
     v = lambda kind, o, a, n: F.coalesce(F.try_element_at("h", F.lit(f"{kind}{o}_{a}_{n}")), F.lit(0)).cast("double")
     col, zero = F.col, F.lit(0.0)
-    v1 = F.greatest(col("V1"), F.lit(1.0))
-    uniform = 1 / (v1 + 1)
+    uniform = 1 / (F.greatest(col("V1"), F.lit(1.0)) + 1)
 
     def lower(j: int, k: int):
         if j == 0:
@@ -117,8 +112,117 @@ def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (
         ctx = v("c", k - 1, 1, k - 1)
         p = F.when(ctx == 0, lower(k - 1, k)).otherwise(F.greatest(v("c", k, 1, k) - col(f"D{k}"), zero) / ctx + col(f"D{k}") * v("f", k, 1, k - 1) / ctx * lower(k - 1, k))
         logs = logs + F.ln(F.greatest(p, F.lit(1e-300)))
-    scale = F.when(col(f"N{m}") > 0, col("N1") / col(f"N{m}")).otherwise(1.0)
-    return rows.select("query", (F.exp(logs) * scale).alias("p"))
+    return F.exp(logs) * F.when(col(f"N{m}") > 0, col("N1") / col(f"N{m}")).otherwise(1.0) if window else F.exp(logs)
+
+
+def _orders(stats: DataFrame, m: int, columns: dict[str, str], by: list[str]) -> DataFrame:
+    """One row per group with the numbers of orders 1..m side by side."""
+    missing = {"D": 0.5}
+    return stats.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("o") == o, F.col(c))), F.lit(missing.get(x, 0))).cast("double").alias(f"{x}{o}") for o in range(1, m + 1) for x, c in columns.items()])
+
+
+def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (), without_works: tuple = (), window: bool = True) -> DataFrame:
+    """(query, p): interpolated Kneser-Ney probability of arrays of m symbols.
+
+    ``counts`` has the grams of 1..m symbols (column n counts notes: symbols + 1).
+    All counts a query needs are fetched by one equi-join on (kind, order, key) and
+    folded in an unrolled recursion. ``window``: the chain's value times N1 / Nm.
+    The works of the composers ``without`` and ``without_works`` are left out of every
+    count, continuation count and discount.
+    """
+    counts = leaving_out(counts, without, without_works)
+    t = counts.groupBy((F.col("n") - 1).alias("o"), "gram").agg(F.sum("c").alias("c"))
+    table = t.select(F.lit("c").alias("kind"), "o", F.col("gram").alias("key"), F.col("c").alias("v")).unionByName(_continuations(t, [], []).groupBy("kind", "o", "key").agg(F.count("*").alias("v")))
+    got = _wanted(queries, [], m).join(table, ["kind", "o", "key"]).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("h"))
+    stats = discounts(counts).select((F.col("n") - 1).alias("o"), "tokens", "types", "discount")
+    scalars = _orders(stats, m, {"N": "tokens", "V": "types", "D": "discount"}, [])  # one row
+    return queries.select("query").join(got, "query", "left").crossJoin(F.broadcast(scalars)).select("query", _chain(m, window).alias("p"))
+
+
+def net_counts(counts: DataFrame, group: str, unit: str) -> tuple[DataFrame, DataFrame]:
+    """Count tables of the model of each ``group`` from which up to two ``unit`` can be left out.
+
+    Rows (g, kind, o, key, who, v): the value of a key without the units ``out`` is the sum
+    of v over the rows whose ``who`` lies within ``out``. The total has an empty ``who``;
+    a unit's own tokens, and a type that only one or two units hold, are negative rows. The
+    second table holds the tokens (N) and types (V) of each order the same way.
+    """
+    per = counts.groupBy(F.col(group).alias("g"), (F.col("n") - 1).alias("o"), "gram", F.col(unit).alias("u")).agg(F.sum("c").alias("c"))
+    t = per.groupBy("g", "o", "gram").agg(F.sum("c").alias("c"), F.count("*").alias("k"), F.min("u").alias("low"), F.max("u").alias("high"))
+    nobody, gone = F.array().cast(f"array<{dict(per.dtypes)['u']}>"), F.array_distinct(F.array("low", "high"))
+    tokens = t.select("g", "o", "gram", nobody.alias("who"), "c").unionByName(per.select("g", "o", "gram", F.array("u").alias("who"), (-F.col("c")).alias("c")))
+    one = F.lit(1).cast("long")
+    types = t.select("g", "o", "gram", nobody.alias("who"), one.alias("v")).unionByName(t.where("k <= 2").select("g", "o", "gram", gone.alias("who"), (-one).alias("v")))
+    around = _continuations(types, ["g"], ["who", "v"]).groupBy("g", "kind", "o", "key", "who").agg(F.sum("v").alias("v"))
+    table = tokens.select("g", F.lit("c").alias("kind"), "o", F.col("gram").alias("key"), "who", F.col("c").alias("v")).unionByName(around)
+    size = tokens.groupBy("g", "o", "who").agg(F.sum("c").alias("v")).withColumn("kind", F.lit("N"))
+    return table, size.unionByName(types.groupBy("g", "o", "who").agg(F.sum("v").alias("v")).withColumn("kind", F.lit("V")))
+
+
+def kneser_ney_without(tables: tuple[DataFrame, DataFrame], discount: DataFrame, queries: DataFrame, m: int, window: bool = True) -> DataFrame:
+    """(g, out, query, p, n_m): Kneser-Ney under the model of group g without the units ``out``.
+
+    ``queries``: g, out (a sorted array of at most two units), query. ``discount`` (o, discount)
+    stays that of the full tables. Each count is worked out once per (g, out, key), however
+    many queries need it. A model without any symbols gives null. n_m: tokens of order m.
+    """
+    table, sizes = tables
+    within = F.size(F.array_except("who", "out")) == 0
+    asked = queries.select("g", "out", "query").distinct()
+    wanted = _wanted(asked, ["g", "out"], m)
+    keys = wanted.select("g", "out", "kind", "o", "key").distinct()
+    net = keys.join(table, ["g", "kind", "o", "key"]).where(within).groupBy("g", "out", "kind", "o", "key").agg(F.sum("v").alias("v"))
+    got = wanted.join(net, ["g", "out", "kind", "o", "key"]).groupBy("g", "out", "query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("h"))
+    per = asked.select("g", "out").distinct().join(sizes, "g").where(within).groupBy("g", "out", "o").agg(F.sum(F.when(F.col("kind") == "N", F.col("v"))).alias("tokens"), F.sum(F.when(F.col("kind") == "V", F.col("v"))).alias("types"))
+    scalars = _orders(per, m, {"N": "tokens", "V": "types"}, ["g", "out"])
+    d = _orders(discount, m, {"D": "discount"}, [])  # one row
+    rows = asked.join(got, ["g", "out", "query"], "left").join(scalars, ["g", "out"], "left").crossJoin(F.broadcast(d))
+    return rows.select("g", "out", "query", F.when(F.col("N1") > 0, _chain(m, window)).alias("p"), F.col(f"N{m}").alias("n_m"), F.col("N1").alias("n_1"))
+
+
+def laplace_without(counts: DataFrame, queries: DataFrame, n: int, alpha: float = 1.0, exact_types: bool = False) -> DataFrame:
+    """(out, query, c, p): Laplace under the counts without up to two composers.
+
+    Types are reduced by those that a left-out composer has alone; with ``exact_types`` also
+    by those that only the two share.
+    """
+    own = counts.where(F.col("n") == n)
+    per = own.groupBy("gram", "composer").agg(F.sum("c").alias("c"))
+    t = per.groupBy("gram").agg(F.sum("c").alias("c"), F.count("*").alias("k"), F.array_distinct(F.array(F.min("composer"), F.max("composer"))).alias("who"))
+    nobody = F.array().cast("array<string>")
+    sizes = per.groupBy("composer").agg((-F.sum("c")).alias("n")).select(F.array("composer").alias("who"), "n", F.lit(0).cast("long").alias("v"))
+    sizes = sizes.unionByName(t.agg(F.sum("c").alias("n"), F.count("*").alias("v")).select(nobody.alias("who"), "n", "v"))
+    sizes = sizes.unionByName(t.where(F.col("k") <= (2 if exact_types else 1)).groupBy("who").agg((-F.count("*")).alias("v")).select("who", F.lit(0).cast("long").alias("n"), "v"))
+    within = F.size(F.array_except("who", "out")) == 0
+    asked = queries.select("out", "query").distinct()
+    model = asked.select("out").distinct().crossJoin(F.broadcast(sizes)).where(within).groupBy("out").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    seen = t.select(F.col("gram").alias("query"), nobody.alias("who"), "c").unionByName(per.select(F.col("gram").alias("query"), F.array("composer").alias("who"), (-F.col("c")).alias("c")))
+    c = asked.join(seen, "query").where(within).groupBy("out", "query").agg(F.sum("c").alias("c"))
+    rows = asked.join(c, ["out", "query"], "left").join(model, "out").withColumn("c", F.coalesce("c", F.lit(0)))
+    return rows.select("out", "query", "c", laplace(F.col("c"), F.col("n"), F.col("v"), alpha).alias("p"))
+
+
+def work_counts(counts: DataFrame) -> DataFrame:
+    """Every work counts a type once."""
+    return counts.withColumn("c", F.lit(1).cast("long"))
+
+
+def document_frequency_without(counts: DataFrame, discount: DataFrame, queries: DataFrame, m: int) -> DataFrame:
+    """(out, query, works, df): the share of the works outside the composers ``out`` that hold the
+    query; for one that none of them holds, the chain over work counts, at most 1 / (works + 1)."""
+    docs = work_counts(counts.withColumn("g", F.lit("all")))
+    tables = net_counts(docs, "g", "composer")
+    chain = kneser_ney_without(tables, discount, queries.withColumn("g", F.lit("all")), m, window=False)
+    within = F.size(F.array_except("who", "out")) == 0
+    held = tables[0].where((F.col("kind") == "c") & (F.col("o") == m)).select(F.col("key").alias("query"), "who", "v")
+    asked = queries.select("out", "query").distinct()
+    d = asked.join(held, "query").where(within).groupBy("out", "query").agg(F.sum("v").alias("d"))
+    per = counts.groupBy("composer").agg(F.countDistinct("work_id").alias("w"))
+    works = per.agg(F.sum("w").alias("w")).select(F.array().cast("array<string>").alias("who"), "w").unionByName(per.select(F.array("composer").alias("who"), (-F.col("w")).alias("w")))
+    nw = asked.select("out").distinct().crossJoin(F.broadcast(works)).where(within).groupBy("out").agg(F.greatest(F.sum("w"), F.lit(1)).alias("nw"))
+    rows = chain.join(d, ["out", "query"], "left").join(nw, "out")
+    unseen = F.least(1 / (F.col("nw") + 1), F.col("p") * F.col("n_1") / F.col("nw"))
+    return rows.select("out", "query", F.coalesce("d", F.lit(0)).alias("works"), F.when(F.col("d") > 0, F.col("d") / F.col("nw")).otherwise(unseen).alias("df"))
 
 
 def mixture(pc, ps, lam: float):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stavework.sources.tables import shared_folder
+
 
 def per_gram_work(grams: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(by, gram, work_id, t): tokens of each type in each work; the one large exchange."""
@@ -52,9 +54,7 @@ def components(pairs: DataFrame) -> DataFrame:
     spark.checkpoint.dir. Nulls are ignored."""
     spark = pairs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stavework-')}")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     valid = pairs.select("a", "b").where("a is not null and b is not null")
     works = valid.select("a").unionByName(valid.select(F.col("b").alias("a"))).distinct()
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -44,3 +44,20 @@ def ngrams(arrays: DataFrame, column: str, sizes: list[int]) -> DataFrame:
     all sizes in one pass over the segment arrays, no exchange."""
     each = arrays.select("composer", "stratum", "work_id", F.col(column).alias("s"), F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("s") >= F.col("n") - 1)
     return each.select("composer", "stratum", "work_id", "n", F.explode(F.expr("transform(sequence(1, size(s) - n + 2), i -> slice(s, i, n - 1))")).alias("gram"))
+
+
+def symbol_windows(arrays: DataFrame, column: str, m: int) -> DataFrame:
+    """(composer, stratum, work_id, movement_idx, voice_id, seg, pos, query): every window of m
+    symbols with its place (from 1) in its segment; no exchange."""
+    each = arrays.select("composer", "stratum", *SEGMENT, F.col(column).alias("s")).where(F.size("s") >= m)
+    starts = each.select("composer", "stratum", *SEGMENT, F.posexplode(F.expr(f"transform(sequence(1, size(s) - {m} + 1), i -> slice(s, i, {m}))")).alias("p", "query"))
+    return starts.select("composer", "stratum", *SEGMENT, (F.col("p") + 1).alias("pos"), "query")
+
+
+def padded_windows(rows: DataFrame, key: str, column: str, length: int = 32, step: int = 8, pad: int = 48, start: int = 50) -> DataFrame:
+    """(key, k, tokens, mask): training windows of ``length`` tokens every ``step``, the sequence led
+    by ``start`` and the last ones filled up with ``pad`` (mask 0). An empty sequence gives one window."""
+    led = rows.select(key, F.concat(F.array(F.lit(start)), F.coalesce(F.col(column), F.array().cast("array<int>"))).alias("s"))
+    cut = led.select(key, F.posexplode(F.expr(f"transform(sequence(0, greatest(size(s) - {length}, 0), {step}), i -> slice(s, i + 1, {length}))")).alias("k", "w"))
+    fill = F.lit(length) - F.size("w")
+    return cut.select(key, "k", F.concat("w", F.array_repeat(F.lit(pad), fill)).alias("tokens"), F.concat(F.array_repeat(F.lit(1), F.size("w")), F.array_repeat(F.lit(0), fill)).alias("mask"))

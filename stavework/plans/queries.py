@@ -447,3 +447,6 @@ def rhythm_classes(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     q = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lag("l_quantity").over(w).alias("a"), F.col("l_quantity").alias("b")).where("a is not null")
     return q.groupBy(rhythm_class(F.col("a"), F.col("b")).alias("class")).agg(F.count("*").alias("cnt"))
+
+
+from stavework.plans import models as _models  # noqa: E402, F401  registers its queries

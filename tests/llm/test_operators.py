@@ -136,14 +136,83 @@ def test_mixture_meets_targets_within_half_a_document(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
 
 
-def test_katz_is_normalised(docs, empty):
-    from stavework.llm.katz import Discount, Unigrams, score_texts
-
-    rows = score_texts(docs).collect()
-    assert len(rows) == len(TEXTS) and all(r.n_tokens == len(_words(TEXTS[r.doc_id])) + 1 and r.score < 0 for r in rows)
-    uni = Unigrams(100, 30, [12, 6, 4, 3, 2, 1])
-    assert 0 < uni.unknown < 1 and (np.diff(Discount([120, 40, 20, 12, 8, 5]).kept) > 0).all()
-    assert score_texts(empty).count() == 0
+class BruteKatz:
+    """The model by its definition, on tuples of words."""
+
+    def __init__(self, texts, order):
+        from collections import Counter
+
+        from stavework.llm.katz import Discount, Unigrams
+
+        self.order, self.grams = order, [Counter() for _ in range(order)]
+        for t in texts:
+            w = self.tokens(t)
+            for i in range(order - 1, len(w)):
+                for j in range(order):
+                    self.grams[j][tuple(w[i - j : i + 1])] += 1
+        spread = lambda g: [sum(c == r for c in g.values()) for r in range(1, 7)]
+        self.uni = Unigrams(sum(self.grams[0].values()), len(self.grams[0]), spread(self.grams[0]))
+        self.kept = [None] + [Discount(spread(g)) for g in self.grams[1:]]
+        self.after = [{} for _ in range(order)]
+        for j in range(1, order):
+            for g, c in self.grams[j].items():
+                self.after[j].setdefault(g[:-1], {})[g[-1]] = c
+
+    def tokens(self, t):
+        return ["<s>"] * (self.order - 1) + [x.lower() for x in _words(t)] + ["</s>"]
+
+    def p(self, w, h):
+        if not h:
+            return float(self.uni.p(np.array([self.grams[0][(w,)]]))[0])
+        seen = self.after[len(h)].get(h)
+        if not seen:
+            return self.p(w, h[1:])
+        total, value = sum(seen.values()), self.kept[len(h)].value
+        if w in seen:
+            return float(value(np.array([seen[w]]))[0]) / total
+        left = sum(c - float(value(np.array([c]))[0]) for c in seen.values()) / total
+        return left / (1 - sum(self.p(x, h[1:]) for x in seen)) * self.p(w, h[1:])
+
+    def score(self, t):
+        w = self.tokens(t)
+        k = self.order - 1
+        return sum(np.log10(self.p(w[i], tuple(w[i - k : i]))) for i in range(k, len(w)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_scores_every_text(docs, empty, order):
+    from stavework.llm.katz import Discount, score_texts
+
+    held = {i for i in range(len(TEXTS)) if zlib.crc32(str(i).encode()) % 10 == 0}
+    model = BruteKatz([t for i, t in enumerate(TEXTS) if i not in held], order)
+    rows = score_texts(docs, order=order).collect()
+    assert len(rows) == len(TEXTS) and {r.doc_id for r in rows if r.held_out} == held
+    for r in rows:
+        w = [x.lower() for x in _words(TEXTS[r.doc_id])] + ["</s>"]
+        n, v = model.uni.n, model.uni.v
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(model.grams[0][(x,)] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(np.log10((model.grams[0][(x,)] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert r.score == pytest.approx(model.score(TEXTS[r.doc_id]), rel=1e-9)
+    assert (np.diff(Discount([120, 40, 20, 12, 8, 5]).kept) > 0).all() and (np.diff(Discount([1000, 300, 140, 100, 40, 90]).kept) > 0).all()
+    assert score_texts(empty, order=order).count() == 0
+
+
+def test_katz_distributions_sum_to_one():
+    model = BruteKatz([t for t in TEXTS if t and len(t) < 800], 3)
+    words = [g[0] for g in model.grams[0]]
+    contexts = [("<s>", "<s>"), *list(model.after[2])[:40], ("never", "seen"), ("never", words[0])]
+    for h in contexts:
+        assert sum(model.p(w, h) for w in words) + model.p("<unknown>", h) == pytest.approx(1)
+
+
+def test_katz_null_ids_and_no_training(spark):
+    from stavework.llm.katz import score_texts
+
+    rows = score_texts(spark.createDataFrame([(None, "a b"), (None, None), (7, "a a")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in rows) == [(-1, 1), (-1, 3), (7, 3)]
+    alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    only = score_texts(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).collect()
+    assert [(r.n_known, r.train_tokens, r.score) for r in only] == [(0, 0, 0.0)]
 
 
 def test_vectors(spark):

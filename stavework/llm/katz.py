@@ -19,8 +19,8 @@ Three exchanges of compressed arrays, none of one row per token:
      orders, and the recursion for every token that the top order has not seen.
 Words that hold more than an eighth of a bucket (``HOT`` at most) are spread: as words by
 their context, as contexts by the word before, and their own sums are added up once.
-Frequent words travel as two bytes, the others as their 64-bit hash. n-grams are the same
-if these hashes are.
+Frequent words travel as their rank, the others as their 64-bit hash. n-grams are the same
+if these hashes are. Sums of texts travel as multiples of 2^-30.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import folded, free_shuffles, input_splits, project, write_table
+from stavework.llm._env import folded, free_shuffles, input_splits, project, trim_memory, write_table
 from stavework.llm._packed import get, get_sorted, put, put_sorted
 from stavework.llm._words import U, chunks, mix, words_of
 
 K, TAIL = 5, 0.1
-#: Words that travel as two bytes; words that may be spread over the buckets.
-NAMES, HOT = 65_535, 4_096
+#: Words that travel as their rank; words that may be spread over the buckets.
+NAMES, HOT = 262_143, 4_096
 END, START = mix(np.array([1, 2], U))
 NO_ID = -(2**63)
 PART = "kind int, bucket int, payload array<binary>"
@@ -81,19 +81,21 @@ class Unigrams:
 
 
 class Names:
-    """Frequent words by two bytes (from 1), the others by their hash; the hot ones' counts."""
+    """Frequent words by their rank (from 1), the others by their hash; the hot ones' counts."""
 
-    def __init__(self, words: np.ndarray, hot: np.ndarray, hot_c: np.ndarray):
-        self.words, self.hot, self.hot_c = np.sort(words), hot, hot_c
+    def __init__(self, ranked: np.ndarray, hot: np.ndarray, hot_c: np.ndarray):
+        order = np.argsort(ranked)
+        self.ranked, self.words, self.rank = ranked, ranked[order], (order + 1).astype(np.uint32)
+        self.hot, self.hot_c = hot, hot_c
 
     def put(self, h: np.ndarray) -> list[bytes]:
-        at = np.searchsorted(self.words, h)
-        known = self.words[np.minimum(at, len(self.words) - 1)] == h if len(self.words) else np.zeros(len(h), bool)
-        return [put(np.where(known, at + 1, 0).astype(np.uint16)), put(h[~known])]
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        return [put(np.where(known, self.rank[at], np.uint32(0))), put(h[~known])]
 
     def get(self, code: bytes, other: bytes) -> np.ndarray:
-        at = get(code, np.uint16).astype(np.int64)
-        out = self.words[np.maximum(at - 1, 0)] if len(self.words) else np.zeros(len(at), U)
+        at = get(code, np.uint32).astype(np.int64)
+        out = self.ranked[np.maximum(at - 1, 0)]
         out[at == 0] = get(other, U)
         return out
 
@@ -132,6 +134,16 @@ def _frame(rows: list[tuple[int, int, list[bytes]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "payload"])
 
 
+def _put_sums(x: np.ndarray) -> bytes:
+    n = np.rint(x * 2**30).astype(np.int64)
+    return put((n << 1) ^ (n >> 63))  # small either side of zero
+
+
+def _get_sums(data: bytes) -> np.ndarray:
+    n = get(data, np.int64)
+    return ((n >> 1) ^ -(n & 1)) / 2**30
+
+
 def _new(*keys: np.ndarray) -> np.ndarray:
     """Where the first of equal (sorted) rows stands."""
     out = np.zeros(len(keys[0]), bool)
@@ -159,7 +171,7 @@ def _add_words(most: int):
         w, at = np.unique(w, return_inverse=True)
         c = np.bincount(at, n).astype(np.int64)
         top = np.sort(np.argsort(-c, kind="stable")[:most])
-        return pd.DataFrame({"bucket": pdf.bucket.iloc[:1], "words": [put_sorted(w)], "counts": [put(c)], "n": [c.sum()], "v": [len(c)], "r": [np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]], "top": [w[top].view(np.int64)], "top_c": [c[top]]})
+        return pd.DataFrame({"bucket": pdf.bucket.iloc[:1], "words": [put_sorted(w)], "counts": [put(c)], "n": [c.sum()], "v": [len(c)], "r": [np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]], "top": [put(w[top])], "top_c": [put(c[top])]})
 
     return run
 
@@ -202,9 +214,8 @@ def _ngrams(bits: int, names: Names, uni: Unigrams, order: int):
         p = list(pdf.payload)
         w = np.concatenate([np.repeat(get_sorted(x[0]), get(x[1], np.uint32)) for x in p])
         before = [np.concatenate([names.get(x[7 + 2 * k], x[8 + 2 * k]) for x in p]) for k in range(order - 1)]
-        size = [len(get(x[4], bool)) for x in p]
-        offset = np.cumsum([0, *size])[:-1]
-        d = np.concatenate([get(x[2], np.uint32).astype(np.int64) + o for x, o in zip(p, offset)])
+        offset = np.cumsum([0] + [len(get(x[4], bool)) for x in p])[:-1]
+        d = np.concatenate([get(x[2], np.uint32).astype(np.int32) + np.int32(o) for x, o in zip(p, offset)])
         keys, held = np.concatenate([get_sorted(x[3]).view(np.int64) for x in p]), np.concatenate([get(x[4], bool) for x in p])
         ids = np.full(len(keys), NO_ID, np.int64)
         has_id = np.zeros(len(keys), bool)
@@ -213,57 +224,84 @@ def _ngrams(bits: int, names: Names, uni: Unigrams, order: int):
             ids[at], has_id[at] = get(x[6], np.int64), True
         del p
         sort = np.lexsort((*before[::-1], w))
-        w, before, d = w[sort], [b[sort] for b in before], d[sort]
-        learns = (~held[d]).astype(np.int64)
-        # group of every token at each order: equal words with equally many words before them
-        counts, firsts = [], []
+        w, d = w[sort], d[sort]
+        for k in range(order - 1):
+            before[k] = before[k][sort]
+        del sort
+        learns = ~held[d]
+        # types of every order: equal words with equally many words before them, nested
+        new = _new(w)
+        firsts, counts = [], []
         for j in range(order):
-            new = _new(w, *before[:j])
-            group = np.cumsum(new) - 1
+            if j:
+                new[1:] |= before[j - 1][1:] != before[j - 1][:-1]
             firsts.append(np.flatnonzero(new))
-            counts.append(np.bincount(group, learns, minlength=len(firsts[j])).astype(np.int64)[group])
-        place = names.place(w)
-        c = np.where(place >= 0, names.hot_c[np.maximum(place, 0)], counts[0]) if len(names.hot) else counts[0]
-        counts[0] = c
-        r, top = counts[-1], order - 1
-        m = len(keys)
+            counts.append(np.add.reduceat(learns, firsts[j], dtype=np.int64))
+        del new, learns
+        place = names.place(w[firsts[0]])
+        if len(names.hot):
+            counts[0] = np.where(place >= 0, names.hot_c[np.maximum(place, 0)], counts[0])
+        size = [np.diff(f, append=len(w)) for f in firsts]
+        each = lambda x, j: np.repeat(x, size[j])  # noqa: E731  of types for tokens
+        m, top = len(keys), order - 1
         log = lambda x, on: np.log10(np.where(on, x, 1))
+        add = lambda x, j: np.bincount(d, each(x, j), minlength=m)
         # the gram of the top order but one is the context of the next token, an end is none
-        context = counts[top - 1] if order > 1 else np.full(len(w), max(uni.n, 1))
-        main = log(r - TAIL, r > K) - log(context, (context > 0) & ((w != END) | (order == 1)))
-        sums = [np.bincount(d, np.log10(c + 0.1), minlength=m), np.bincount(d, main, minlength=m)]
-        sums += [np.bincount(d, x, minlength=m).astype(np.uint32) for x in (np.ones(len(d)), c > 0, *(r == k for k in range(1, K + 1)))]
+        r = counts[top]
+        if order > 1:
+            followed = (w[firsts[top - 1]] != END) & (counts[top - 1] > 0)
+            main = add(log(r - TAIL, r > K), top) - add(log(counts[top - 1], followed), top - 1)
+        else:
+            main = add(log(r - TAIL, r > K) - np.log10(max(uni.n, 1)), top)
+        sums = [_put_sums, add(np.log10(counts[0] + 0.1), 0)], [_put_sums, main]
+        small = [np.bincount(d, minlength=m), add(counts[0] > 0, 0), *(add(r == k, top) for k in range(1, K + 1))]
+        sums = [*sums, *([put, x.astype(np.uint32)] for x in small)]
         out = []
         for k, i in _split_by(_top(mix(keys.view(U)), bits), 1 << bits):
             i = i[np.argsort(keys[i], kind="stable")]
-            out.append((0, k, [put_sorted(keys[i].view(U)), put(held[i]), put(np.flatnonzero(has_id[i]).astype(np.uint32)), put(ids[i][has_id[i]]), *[put(x[i]) for x in sums]]))
+            out.append((0, k, [put_sorted(keys[i].view(U)), put(held[i]), put(np.flatnonzero(has_id[i]).astype(np.uint32)), put(ids[i][has_id[i]]), *[f(x[i]) for f, x in sums]]))
+        del sums, small, main
+        # of every type the type of each lower order that it continues
+        parent = lambda at, j: np.searchsorted(firsts[j], at, side="right") - 1
+        c_of = lambda at: counts[0][parent(at, 0)]
         second = before[1] if order > 2 else None
-        for j in range(1, order):  # the table of n-grams of j + 1 words
-            model = firsts[j][counts[j][firsts[j]] > 0]
-            if j == 1:
-                hot = names.place(before[0][model])
-                some = np.unique(hot[hot >= 0])
-                if len(some):
-                    at, rest = np.searchsorted(some, hot[hot >= 0]), model[hot >= 0]
-                    low = [np.bincount(at, np.minimum(counts[1][rest], K + 1) == k, minlength=len(some)).astype(np.int64) for k in range(1, K + 2)]
-                    mass = np.bincount(at, uni.p(c[rest]), minlength=len(some))
-                    out += [(3, int(k), [put(some[i]), *[put(x[i]) for x in low], put(mass[i])]) for k, i in _split_by(some % 64, 64)]
-                model = model[hot < 0]
+        if order > 1:
+            pairs = firsts[1][counts[1] > 0]
+            hot = names.place(before[0][pairs])
+            some = np.unique(hot[hot >= 0])
+            if len(some):
+                at, rest, n = np.searchsorted(some, hot[hot >= 0]), pairs[hot >= 0], counts[1][counts[1] > 0][hot >= 0]
+                low = [np.bincount(at, np.minimum(n, K + 1) == k, minlength=len(some)).astype(np.int64) for k in range(1, K + 2)]
+                mass = np.bincount(at, uni.p(c_of(rest)), minlength=len(some))
+                out += [(3, int(k), [put(some[i]), *[put(x[i]) for x in low], put(mass[i])]) for k, i in _split_by(some % 64, 64)]
+            model = firsts[top][r > 0] if order > 2 else pairs[hot < 0]
             v = before[0][model]
-            for k, i in _split_by(_by_context(v, second[model] if second is not None and j > 1 else None, names, bits), 1 << bits):
+            for k, i in _split_by(_by_context(v, None if second is None else second[model], names, bits), 1 << bits):
                 i = model[i]
-                i = i[np.lexsort(tuple(b[i] for b in before[:j][::-1]))]
-                out.append((1, k, [bytes([j]), put_sorted(before[0][i]), put(counts[j][i].astype(np.uint32)), put(counts[j - 1][i]), *[x for b in before[1:j] for x in names.put(b[i])]]))
-        lost = np.flatnonzero(r == 0)
+                i = i[np.argsort(before[0][i], kind="stable")]  # by context, then word: pairs and their longer grams
+                of = [parent(i, j) for j in range(1, order)]
+                starts = [np.flatnonzero(_new(*of[: j + 1])) for j in range(order - 1)]
+                first = i[starts[0]]
+                sent = [put_sorted(before[0][first]), put(c_of(first))]
+                for j in range(order - 1):
+                    sent += names.put(before[j][i[starts[j]]]) if j else []
+                    sent.append(put(counts[j + 1][of[j][starts[j]]].astype(np.uint32)))
+                    if j < order - 2:
+                        sent.append(put(np.diff(np.searchsorted(starts[j + 1], starts[j]), append=len(starts[j + 1])).astype(np.uint32)))
+                out.append((1, k, sent))
+        lost = np.flatnonzero(each(r == 0, top))
         v = before[0][lost] if order > 1 else keys[d[lost]].view(U)
         for k, i in _split_by(_by_context(v, second[lost] if second is not None else None, names, bits), 1 << bits):
             i = lost[i]
             i = i[np.argsort(before[0][i], kind="stable")] if order > 1 else i
             near = before[0][i] if order > 1 else np.zeros(len(i), U)
-            out.append((2, k, [put_sorted(near), put(keys[d[i]]), *[put(x[i]) for x in counts[:top]], *[x for b in before[1:] for x in names.put(b[i])]]))
-        spread = [np.bincount(np.minimum(counts[j][firsts[j]], K + 2), minlength=K + 3)[1 : K + 2] for j in range(order)]
+            out.append((2, k, [put_sorted(near), put(keys[d[i]]), *[put(counts[j][parent(i, j)]) for j in range(top)], *[x for b in before[1:] for x in names.put(b[i])]]))
+        spread = [np.bincount(np.minimum(counts[j], K + 2), minlength=K + 3)[1 : K + 2] for j in range(order)]
         out.append((4, int(pdf.bucket.iloc[0]) % 64, [np.array(spread, np.int64).tobytes()]))
-        return _frame(out)
+        found = _frame(out)
+        del w, before, d, firsts, counts, size, out, each, add, parent, c_of, second, lost, v, r
+        trim_memory()
+        return found
 
     return run
 
@@ -309,24 +347,27 @@ def _context_key(contexts: list[np.ndarray]) -> np.ndarray:
 def _levels(rows: list, names: Names, hot: tuple[np.ndarray, ...], uni: Unigrams, discounts: list[Discount], order: int) -> list[Level]:
     """Back-off weights of every context of a bucket, shortest contexts first."""
     levels: list[Level] = []
+    parts = [np.concatenate([get_sorted(x[0]) for x in rows])] if rows else [np.zeros(0, U)]
+    lower = np.concatenate([get(x[1], np.int64) for x in rows]) if rows else np.zeros(0, np.int64)
+    at = 2
     for j in range(1, order):
-        mine = [x for x in rows if x[0][0] == j]
-        parts = [np.concatenate([get_sorted(x[1]) for x in mine])] if mine else [np.zeros(0, U)]
-        parts += [np.concatenate([names.get(x[4 + 2 * k], x[5 + 2 * k]) for x in mine]) if mine else np.zeros(0, U) for k in range(j - 1)]
-        r = np.concatenate([get(x[2], np.uint32) for x in mine]).astype(np.int64) if mine else np.zeros(0, np.int64)
-        lower = np.concatenate([get(x[3], np.int64) for x in mine]) if mine else np.zeros(0, np.int64)
-        if j == 1:
-            p = uni.p(lower)
-        else:
-            p = discounts[j - 1].value(lower) / np.maximum(levels[-1].find(parts[: j - 1])[0], 1)
-        key, first, at = np.unique(_context_key(parts), return_index=True, return_inverse=True)
-        count = np.bincount(at, r, minlength=len(key))
-        left = np.bincount(at, r - discounts[j].value(r), minlength=len(key))
-        rest = 1 - np.bincount(at, p, minlength=len(key))
-        parts = [x[first] for x in parts]
+        if j > 1:
+            n = np.concatenate([get(x[at], np.uint32) for x in rows]) if rows else np.zeros(0, np.uint32)
+            more = np.concatenate([names.get(x[at + 1], x[at + 2]) for x in rows]) if rows else np.zeros(0, U)
+            parts, lower, at = [*[np.repeat(x, n) for x in parts], more], np.repeat(r, n), at + 3
+        r = np.concatenate([get(x[at], np.uint32) for x in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        at += 1
+        p = uni.p(lower) if j == 1 else discounts[j - 1].value(lower) / np.maximum(levels[-1].find(parts[: j - 1])[0], 1)
+        # hot words as contexts come with their sums: a bucket holds some of their followers only
+        own = names.place(parts[0]) < 0 if j == 1 else slice(None)
+        key, first, group = np.unique(_context_key(parts)[own], return_index=True, return_inverse=True)
+        count = np.bincount(group, r[own], minlength=len(key))
+        left = np.bincount(group, (r - discounts[j].value(r))[own], minlength=len(key))
+        rest = 1 - np.bincount(group, p[own], minlength=len(key))
+        context = [x[own][first] for x in parts]
         if j == 1 and len(hot[0]):
-            parts, count, left, rest = [np.concatenate((parts[0], hot[0]))], np.concatenate((count, hot[1])), np.concatenate((left, hot[2])), np.concatenate((rest, hot[3]))
-        levels.append(Level(parts, count, left, np.maximum(rest, 1e-300)))
+            context, count, left, rest = [np.concatenate((context[0], hot[0]))], np.concatenate((count, hot[1])), np.concatenate((left, hot[2])), np.concatenate((rest, hot[3]))
+        levels.append(Level(context, count, left, np.maximum(rest, 1e-300)))
     return levels
 
 
@@ -372,7 +413,8 @@ def _finish(uni: Unigrams, top: Discount, starts: int, order: int):
         for x in docs:
             ids[np.searchsorted(keys, get_sorted(x[0]).view(np.int64)[get(x[2], np.uint32)])] = get(x[3], np.int64)
         add = lambda j, kind: np.bincount(at, np.concatenate([get(x[j], kind) for x in docs]))
-        base, score, tokens, known = add(4, float), add(5, float), add(6, np.uint32).astype(np.int64), add(7, np.uint32).astype(np.int64)
+        sums = lambda j: np.bincount(at, np.concatenate([_get_sums(x[j]) for x in docs]))
+        base, score, tokens, known = sums(4), sums(5), add(6, np.uint32).astype(np.int64), add(7, np.uint32).astype(np.int64)
         for r in range(1, K + 1):
             score += add(7 + r, np.uint32) * np.log10(top.kept[r])
         if starts and order > 1:
@@ -400,13 +442,13 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bits = int(min(20, max(4, np.ceil(np.log2(2 * input_splits(docs))))))
     rows = project(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held", F.coalesce(folded(F.col("doc_id"), folds) == 0, F.lit(False)))
     sent = rows.mapInPandas(_count_words(bits), PART)
-    most = max(64, 4 * NAMES >> bits)
-    words = write_table(sent.groupBy("bucket").applyInPandas(_add_words(most), "bucket int, words binary, counts binary, n long, v long, r array<long>, top array<long>, top_c array<long>"), "unigrams", partition_by=["bucket"]).df()
+    most = max(64, 2 * NAMES >> bits)
+    words = write_table(sent.groupBy("bucket").applyInPandas(_add_words(most), "bucket int, words binary, counts binary, n long, v long, r array<long>, top binary, top_c binary"), "unigrams", partition_by=["bucket"]).df()
     stats = words.select("n", "v", "r", "top", "top_c").collect()
     n, v = sum(s["n"] for s in stats), sum(s["v"] for s in stats)
     uni = Unigrams(n, v, [sum(s["r"][k] for s in stats) for k in range(K + 1)])
-    w = np.array([x for s in stats for x in s["top"]], np.int64).view(U)
-    c = np.array([x for s in stats for x in s["top_c"]], np.int64)
+    w = np.concatenate([np.zeros(0, U), *[get(bytes(s["top"]), U) for s in stats]])
+    c = np.concatenate([np.zeros(0, np.int64), *[get(bytes(s["top_c"]), np.int64) for s in stats]])
     rank = np.lexsort((w, -c))[: NAMES - 1]  # and the start of a text
     often = rank[:HOT][c[rank[:HOT]] * 8 * 2**bits >= n]
     often = often[np.argsort(w[often])]

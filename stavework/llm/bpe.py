@@ -40,7 +40,7 @@ _END = "\n"  # stands for the end-of-word mark inside the automaton; no piece ho
 class Bpe:
     """The tokenizer of a file: a BPE model with end-of-word marks and no decoder."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -73,7 +73,6 @@ class Bpe:
         self._finder.make_automaton()
         self._verdicts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, bool))
         self._number = [str(i) for i in range(max(self.text_of) + 1)]
-        self._of_number = {str(i): t for i, t in self.text_of.items()}
         self.cache: dict[str, str] = {}
         self.cache_words = cache_words
         self.merged_words = 0  # how many distinct words needed exact merging
@@ -247,11 +246,21 @@ class Bpe:
             out.append((line, line.count(" ") + 1 if line else 0))
         return out
 
-    def decode_numbers(self, ids: str) -> str:
+
+class Decoder:
+    """Token texts of a tokenizer file by their decimal ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec.get("decoder") is not None:
+            raise ValueError("a tokenizer without a decoder is needed")
+        self.text_of = {str(i): t for t, i in spec["model"]["vocab"].items()} | {str(t["id"]): t["content"] for t in spec["added_tokens"]}
+
+    def __call__(self, ids: str) -> str:
         """The text of decimal ids joined by one space: their tokens joined by one space (the
         file has no decoder); ids that no token has are left out."""
-        get = self._of_number.get
-        texts = list(map(get, ids.split(" "))) if ids else []
+        texts = list(map(self.text_of.get, ids.split(" "))) if ids else []
         return " ".join(texts if None not in texts else [t for t in texts if t is not None])
 
 
@@ -270,6 +279,11 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _pieces_of(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
@@ -314,12 +328,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        of = decoder(path)
         for batch in batches:
             ids = batch.column("ids")
             for a, b in _pieces_of(ids.to_pylist()):
                 part = batch.slice(a, b - a)
-                texts = [tok.decode_numbers(i or "") for i in part.column("ids").to_pylist()]
+                texts = [of(i or "") for i in part.column("ids").to_pylist()]
                 yield pa.record_batch([*part.select(["doc_id", "ids", "n_tokens"]).columns, pa.array(texts, pa.string())], schema=schema)
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded string")

@@ -70,14 +70,43 @@ def components(pairs: DataFrame) -> DataFrame:
     return works.join(e.select(F.col("u").alias("a"), F.col("v").alias("low")), "a", "left").select(F.col("a").alias("work_id"), F.coalesce("low", "a").alias("component"))
 
 
-def incipits(grams: DataFrame, pattern: list[int]) -> DataFrame:
-    """For each n: tokens and works of the first n - 1 symbols of a fixed pattern."""
-    wanted = grams.where(F.col("gram") == F.slice(F.array(*map(F.lit, pattern)), F.lit(1), F.col("n") - 1))
-    return wanted.groupBy("n").agg(F.count("*").alias("tokens"), F.countDistinct("work_id").alias("works"))
+def incipits(grams: DataFrame, pattern: list[int], sizes: list[int]) -> DataFrame:
+    """For each n of ``sizes``: tokens and works of the first n - 1 symbols of a fixed pattern, 0
+    where it does not occur."""
+    rows = grams.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    wanted = rows.select("n", F.slice(F.array(*map(F.lit, pattern)), F.lit(1), F.col("n") - 1).alias("gram"))
+    found = grams.join(F.broadcast(wanted), ["n", "gram"]).groupBy("n").agg(F.count("*").alias("tokens"), F.countDistinct("work_id").alias("works"))
+    return rows.join(found, "n", "left").select("n", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("works", F.lit(0)).alias("works"))
 
 
-def motif_positions(arrays: DataFrame, column: str, m: int) -> DataFrame:
-    """(work_id, gram, starts) of motifs that are not all repeated notes."""
+def motif_starts(arrays: DataFrame, column: str, m: int, still: int = 200) -> DataFrame:
+    """(work_id, movement_idx, voice_id, seg, gram, start) of motifs that are not all repeated notes."""
     each = arrays.select("work_id", "movement_idx", "voice_id", "seg", F.col(column).alias("s")).where(F.size("s") >= m)
-    rows = each.select("work_id", F.posexplode(F.expr(f"transform(sequence(1, size(s) - {m} + 1), i -> slice(s, i, {m}))")).alias("start", "gram"))
-    return rows.where(F.exists("gram", lambda x: x != 200)).groupBy("work_id", "gram").agg(F.count("*").alias("occurrences"), F.min("start").alias("first_start"))
+    rows = each.select("work_id", "movement_idx", "voice_id", "seg", F.posexplode(F.expr(f"transform(sequence(1, size(s) - {m} + 1), i -> slice(s, i, {m}))")).alias("start", "gram"))
+    return rows.where(F.exists("gram", lambda x: x != still))
+
+
+def motif_positions(arrays: DataFrame, column: str, m: int) -> DataFrame:
+    """(work_id, gram, occurrences, first_start) of motifs that are not all repeated notes."""
+    return motif_starts(arrays, column, m).groupBy("work_id", "gram").agg(F.count("*").alias("occurrences"), F.min("start").alias("first_start"))
+
+
+def shared_motifs(starts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, gram, starts_a, starts_b) of the motifs that two works share; starts are (movement,
+    voice, segment, place) in order."""
+    place = F.struct("movement_idx", "voice_id", "seg", "start")
+    held = starts.groupBy("work_id", "gram").agg(F.array_sort(F.collect_list(place)).alias("starts"))
+    a, b = held.toDF("a", "gram", "starts_a"), held.toDF("b", "gram", "starts_b")
+    return pairs.select("a", "b").join(a, "a").join(b, ["b", "gram"]).select("a", "b", "gram", "starts_a", "starts_b")
+
+
+def boldest(shared: DataFrame, still: int = 200) -> DataFrame:
+    """Of each pair the shared motif of the largest leaps; ties to the first motif."""
+    leaps = F.aggregate("gram", F.lit(0), lambda s, x: s + F.abs(x - still))
+    return shared.groupBy("a", "b").agg(F.max_by(F.struct("gram", "starts_a", "starts_b"), F.struct(leaps.alias("l"), F.transform("gram", lambda x: -x).alias("g"))).alias("m")).select("a", "b", "m.*")
+
+
+def highlights(starts: DataFrame, column: str, m: int) -> DataFrame:
+    """(a, movement_idx, voice_id, seg, note): the notes that occurrences of m intervals cover."""
+    each = starts.select("a", F.explode(column).alias("s"))
+    return each.select("a", "s.movement_idx", "s.voice_id", "s.seg", F.explode(F.sequence(F.col("s.start"), F.col("s.start") + m)).alias("note")).distinct()

@@ -108,8 +108,37 @@ def trigram_ranks_by_stratum(spark, sf_dir):
 
 @query("permutation_null")
 def permutation_null(spark, sf_dir):
+    out = patterns.permutation_null(_segs(spark, sf_dir), 1000, min_notes=40)
+    return out.select("grouping", "name", "stat", "obs", F.round("mean", 6).alias("mean"), "low", "high", F.round("ratio", 6).alias("ratio"), F.round("p", 6).alias("p"), "permutations")
+
+
+@query("permutation_observed", f"WITH {WINDOWS_SQL}, m AS (SELECT work_id, mov, voice, median(midi) AS m FROM long GROUP BY ALL), b AS (SELECT work_id, mov, arg_min(voice, (m, voice)) AS bass FROM m GROUP BY ALL HAVING count(*) > 1), k AS (SELECT work_id FROM long GROUP BY 1 HAVING count(*) >= 40), w AS (SELECT win.*, CASE WHEN voice = bass THEN 'bass' ELSE 'other' END || CASE WHEN cad THEN '_cad' ELSE '_other' END AS class FROM win LEFT JOIN b USING (work_id, mov) WHERE work_id IN (SELECT work_id FROM k)), c AS (SELECT stratum AS name, s.stat, count(*) FILTER (s.hit) AS obs FROM w, LATERAL (VALUES ('D2', d2), ('D3', d3), ('D4', d4), ('D4:bass_cad', d4 AND class = 'bass_cad'), ('D4:bass_other', d4 AND class = 'bass_other'), ('D4:other_cad', d4 AND class = 'other_cad'), ('D4:other_other', d4 AND class = 'other_other')) s(stat, hit) GROUP BY ALL) SELECT * FROM c")
+def permutation_observed(spark, sf_dir):
+    """The observed side of the null, over the works that take part in it."""
     out = patterns.permutation_null(_segs(spark, sf_dir), 100, min_notes=40)
-    return out.select("stratum", "stat", "obs", F.round("mean", 6).alias("mean"), "low", "high", F.round("ratio", 6).alias("ratio"), F.round("p", 6).alias("p"))
+    return out.where("grouping = 'stratum'").select("name", "stat", "obs")
+
+
+@query("excess_by_class")
+def excess_by_class(spark, sf_dir):
+    out = patterns.excess_shares(patterns.permutation_null(_segs(spark, sf_dir), 1000, min_notes=40))
+    return out.select("grouping", "name", "class", F.round("excess", 6).alias("excess"), F.round("share", 6).alias("share"))
+
+
+_STRATA = (("AFRICA", "south"), ("AMERICA", "west"), ("EUROPE", "west"), ("ASIA", "east"), ("MIDDLE EAST", "east"), ("AMERICA", "all"), ("EUROPE", "all"), ("ASIA", "all"), ("AFRICA", "all"), ("MIDDLE EAST", "all"))
+
+
+@query("pooled_rates", f"WITH {WINDOWS_SQL}, st(stratum, grp) AS (VALUES {', '.join(map(str, _STRATA))}) SELECT grp AS \"group\", sum(windows)::BIGINT AS windows, {_RATES} FROM by_work JOIN st USING (stratum) GROUP BY grp")
+def pooled_rates(spark, sf_dir):
+    works = patterns.in_strata(patterns.by_work(_wins(spark, sf_dir)), spark.createDataFrame(list(_STRATA), "stratum string, group string"))
+    p = patterns.pooled_rates(works)
+    return p.select("group", "windows", *[F.round(f"{d}_rate", 6).alias(f"{d}_rate") for d in patterns.DEFINITIONS])
+
+
+@query("rate_report", f"WITH {WINDOWS_SQL} SELECT composer, sum(windows)::BIGINT AS windows, sum(n3)::BIGINT AS D3 FROM by_work GROUP BY 1 HAVING sum(windows) >= 200 ORDER BY windows DESC, composer LIMIT 12")
+def rate_report(spark, sf_dir):
+    r = patterns.rates(patterns.by_work(_wins(spark, sf_dir)), [("composer",)])
+    return patterns.rate_report(r, "composer", 200, 12).select("composer", "windows", "D3")
 
 
 def _curve_sql(column: str, sizes: str, by: str) -> str:
@@ -136,9 +165,9 @@ def uniqueness_by_stratum(spark, sf_dir):
     return curves.curve(_grams(spark, sf_dir, "ivr", [3, 4, 5]), ("stratum", "n"))
 
 
-@query("incipit_lookup", f"WITH {_grams_sql('iv', '3, 4, 5, 6')} SELECT n, count(*) AS tokens, count(DISTINCT work_id) AS works FROM gram WHERE gram = [200, 200, 198, 203, 200][1:n-1] GROUP BY n")
+@query("incipit_lookup", f"WITH {_grams_sql('iv', '3, 4, 5, 6')} SELECT s.n, count(work_id) AS tokens, count(DISTINCT work_id) AS works FROM (SELECT unnest([3, 4, 5, 6]) AS n) s LEFT JOIN gram ON gram.n = s.n AND gram = [200, 200, 198, 203, 200][1:s.n-1] GROUP BY s.n")
 def incipit_lookup(spark, sf_dir):
-    return curves.incipits(_grams(spark, sf_dir, "iv", [3, 4, 5, 6]), [200, 200, 198, 203, 200])
+    return curves.incipits(_grams(spark, sf_dir, "iv", [3, 4, 5, 6]), [200, 200, 198, 203, 200], [3, 4, 5, 6])
 
 
 @query("symbol_codec", f"WITH {SYMBOLS_SQL} SELECT floor(ivr / 8)::INT - 200 AS interval, ivr % 8 - 2 AS rhythm, count(*) AS cnt FROM sym GROUP BY ALL")
@@ -449,4 +478,6 @@ def rhythm_classes(spark, sf_dir):
     return q.groupBy(rhythm_class(F.col("a"), F.col("b")).alias("class")).agg(F.count("*").alias("cnt"))
 
 
-from stavework.plans import models as _models  # noqa: E402, F401  registers its queries
+from stavework.plans import catalogue as _catalogue  # noqa: E402, F401  registers its queries
+from stavework.plans import models as _models  # noqa: E402, F401
+from stavework.plans import spaces as _spaces  # noqa: E402, F401

@@ -73,9 +73,9 @@ def test_catalog_functions(spark):
 
     from stavework.functions import catalog as cat
 
-    t = spark.createDataFrame([("Beethoven, Ludwig van", "Sonata Op. 27 No. 2"), ("Wolfgang Amadeus Mozart", "K. 545"), ("Händel, Georg", "HWV 56")], "name string, title string")
+    t = spark.createDataFrame([("Weber, Carl Maria von", "Sonata Op. 27 No. 2"), ("Wolfgang Amadeus Mozart", "K. 545"), ("Händel, Georg", "HWV 56"), ("Dvořák, Antonín (1841)", "Symphony No. 9"), ("", None)], "name string, title string")
     got = [tuple(r) for r in t.select(cat.composer_id(F.col("name")), cat.catalog_key(F.col("title")), cat.slug(F.col("title"))).collect()]
-    assert got == [("beethoven_l", "op27/2", "sonata-op-27-no-2"), ("mozart_wa", "k545", "k-545"), ("handel_gf", "hwv56", "hwv-56")]
+    assert got == [("weber_cm", "op27/2", "sonata-op-27-no-2"), ("mozart_wa", "k545", "k-545"), ("handel_gf", "hwv56", "hwv-56"), ("dvorak_a", "", "symphony-no-9"), ("unknown", "", None)]
 
 
 def test_streaming_counts(spark, tmp_path):

@@ -117,3 +117,152 @@ def test_kneser_ney_leaves_composers_and_works_out(spark):
     q = spark.createDataFrame([([1, 2, 3],), ([9, 9, 1],), ([3, 1, 2],)], "query array<int>")
     p = lambda t, **out: {tuple(r.query): r.p for r in bg.kneser_ney(spark.createDataFrame(t, schema), q, 3, **out).collect()}
     assert p(kept + gone, without=("c",), without_works=(4,)) == pytest.approx(p(kept)) != pytest.approx(p(kept + gone))
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators.evaluate import decile_means
+    from stavework.operators.running import running
+
+    values = [(i, (i * 37) % 101, 1.5 * i) for i in range(500)]
+    df = spark.createDataFrame(values, "id int, key int, v double").repartition(4)
+    for descending in (False, True):
+        got = {r.id: (r.s, r.n) for r in running(df, F.col("key"), [F.col("id")], {"s": F.col("v"), "n": F.lit(1)}, ranges=8, descending=descending).collect()}
+        order = sorted(values, key=lambda x: (-x[1] if descending else x[1], x[0]))
+        total = 0.0
+        for n, (i, _, v) in enumerate(order, 1):
+            total += v
+            assert got[i] == (pytest.approx(total), n)
+    parts = sorted((r.decile, r.rows) for r in decile_means(df.where("id < 47"), ["key", "id"], "v").collect())
+    assert parts == [(d, 5 if d <= 7 else 4) for d in range(1, 11)]
+
+
+def test_note_tables_and_catalogue_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stavework.operators import catalogue
+    from stavework.sources import files
+
+    (tmp_path / "kern" / "repo").mkdir(parents=True)
+    (tmp_path / "kern" / "repo" / "op3n1-2.krn").write_text("!!!OTL: First\n!!!OTL: Second\n!!!ODT: ~1750-1752\n**kern\n4c\n")
+    lines = files.read_lines(spark, str(tmp_path / "kern" / "repo"))
+    refs = files.reference_records(lines)
+    repos = spark.createDataFrame([("repo", "free", "Vivaldi, Antonio", r"^(op\d+n\d+)-(\d+)()$", "{1}", "{2}", "op.{OPS} {1}")], "repo string, license string, composer string, pattern string, work string, movement string, key string")
+    u = catalogue.unique_units(catalogue.kern_units(lines.select(F.col("file").alias("path")).distinct(), refs, repos)).first()
+    assert (u.work_id, u.title, u.movement, u.composition_year, u.year_certainty, u.composer_id, u.catalog_key) == ("kern-repo-op3n1", "First", "2", 1751, "range", "vivaldi_a", "op3/1")
+    (tmp_path / "a.notes.tsv").write_text("quarterbeats\tduration_qb\tmidi\tstaff\tvoice\tmc\tmc_onset\ttied\ttimesig\n0\t1/2\t60\t1\t1\t1\t0\t\t4/4\n1/2\t0.5\t62\t1\t1\t1\t1/8\t\t4/4\nNA\t1\t64\t1\t1\t1\t1/4\t\t4/4\n2\t1\t65\t1\t1\t1\t1/2\t\t4/4\n")
+    rows = files.flatten_notes(files.read_notes_tsv(spark, str(tmp_path / "a.notes.tsv"))).orderBy("pos").collect()
+    assert [(r.midi, r.dur, r.gap_before, r.bar_remaining) for r in rows] == [(60, 0.5, 0.0, 4.0), (62, 0.5, 0.0, 3.5), (65, 1.0, 1.0, 2.0)]
+    merged = files.keep_existing(spark.createDataFrame([("w", "old", None)], "k string, a string, b string"), spark.createDataFrame([("w", "new", "x"), ("z", "new", "y")], "k string, a string, b string"), "k")
+    assert sorted(map(tuple, merged.collect())) == [("w", "old", "x"), ("z", "new", "y")]
+    files.write_report(merged, f"{tmp_path}/report")
+    files.write_json(merged, f"{tmp_path}/json")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report").count() == spark.read.json(f"{tmp_path}/json").count() == 2
+
+
+def test_stored_notes_and_counts(spark, tmp_path):
+    from stavework.sources import files, tables
+    from stavework.sources.notes import notes
+
+    n = notes(spark, SF)
+    files.write_notes(n.where("work_id < 5"), f"{tmp_path}/notes")
+    files.write_notes(n, f"{tmp_path}/notes", existing=spark.read.parquet(f"{tmp_path}/notes"))
+    assert spark.read.parquet(f"{tmp_path}/notes").count() == n.count()
+    one = tables.load_work(spark, f"{tmp_path}/notes", 3)
+    assert one.count() == n.where("work_id = 3").count() and tables.load_work(spark, f"{tmp_path}/notes", -1).count() == 0
+    rows = spark.createDataFrame([("a", 2, [1], 3), ("b", 3, [1, 2], 1)], "stratum string, n int, gram array<int>, c int")
+    tables.store(tables.union_stratum(rows, ("a", "b"), "both"), f"{tmp_path}/counts", by=("stratum", "n"))
+    got = tables.load_counts(spark, f"{tmp_path}/counts", orders=(3,), stratum="both")
+    assert [r.c for r in got.collect()] == [1] and "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString()
+    tables.append_report(tables.report(rows, ["n", "c"], [rows.n], title="# T"), f"{tmp_path}/md")
+    assert spark.read.text(f"{tmp_path}/md").count() == 6
+    works, missing = tables.with_notes(spark.createDataFrame([(3, "x"), (10**6, "y")], "work_id long, title string"), n)
+    assert works.select("title").distinct().count() == 1 and [r.title for r in missing.collect()] == ["y"]
+    (tmp_path / "r.json").write_text('{"a": 1,\n "b": [2]}')
+    assert tables.read_results(spark, f"{tmp_path}/r.json").first().b == [2]
+    assert tables.exists(spark, f"{tmp_path}/md") and not tables.exists(spark, f"{tmp_path}/nothing")
+
+
+def test_document_frequency_of_seen_and_unseen(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators import background as bg
+
+    rows = [(n, [7] * (n - 1), c, w, 3) for n in (2, 3, 4) for c, w in (("a", 1), ("a", 2), ("b", 3), ("c", 4))] + [(n, [w] * (n - 1), c, w, 1) for n in (2, 3, 4) for c, w in (("a", 1), ("b", 3), ("d", 5), ("e", 6))]
+    counts = spark.createDataFrame(rows, "n int, gram array<int>, composer string, work_id int, c long")
+    d = bg.discounts(counts).select((F.col("n") - 1).alias("o"), "discount")
+    q = spark.createDataFrame([(["a", "b"], [7, 7, 7]), (["a", "b"], [90, 91, 90]), (["c", "d"], [7, 7, 7])], "out array<string>, query array<int>")
+    got = {(tuple(r.out), tuple(r["query"])): (r.works, r.df) for r in bg.document_frequency_without(counts, d, q, 3).collect()}
+    assert got[("a", "b"), (7, 7, 7)] == (1, pytest.approx(1 / 3)) and got[("c", "d"), (7, 7, 7)] == (3, pytest.approx(3 / 4))
+    works, df = got[("a", "b"), (90, 91, 90)]
+    assert works == 0 and 0 < df <= 1 / 4
+
+
+def test_counts_without_units_equal_filtered_counts(spark):
+    """Around a middle: grams that survive stand for suffixes that survive."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stavework.operators import background as bg
+
+    rng = random.Random(5)
+    rows = []
+    for w in range(12):
+        s = [rng.randint(1, 3) for _ in range(14)]
+        rows += [(n, s[i : i + n - 1], "abcd"[w % 4], w, 1) for n in (2, 3, 4, 5) for i in range(len(s) - n + 2)]
+    counts = spark.createDataFrame(rows, "n int, gram array<int>, composer string, work_id int, c long").groupBy("n", "gram", "composer", "work_id").agg(F.sum("c").alias("c"))
+    d = bg.discounts(counts).select((F.col("n") - 1).alias("o"), "discount")
+    q = counts.where("n = 5").select(F.col("gram").alias("query")).distinct().withColumn("out", F.array(F.lit("a"), F.lit("c"))).withColumn("g", F.lit("all"))
+    all_ = counts.withColumn("g", F.lit("all"))
+    fast = {tuple(r["query"]): r.p for r in bg.kneser_ney_without(bg.net_counts(all_, "g", "composer"), d, q, 4).collect()}
+    kept = bg.net_counts(all_.where(~F.col("composer").isin("a", "c")), "g", "composer")
+    slow = {tuple(r["query"]): r.p for r in bg.kneser_ney_without(kept, d, q.withColumn("out", F.array().cast("array<string>")), 4).collect()}
+    assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in fast)
+
+
+def test_voices_collapse_in_order(spark):
+    from stavework.operators.voices import collapse_voices, kept_voices
+
+    tune = [60, 62, 64, 65, 67, 65, 64]
+    other = [50, 50, 55, 53, 52, 55, 50]
+    rows = [(1, v, i, m + (12 if v == 3 else 0), 1.0, float(i)) for v, line in ((1, tune), (2, other), (3, tune), (4, tune[:3])) for i, m in enumerate(line)]
+    n = spark.createDataFrame(rows, "unit int, voice_id int, pos int, midi int, quarter_length double, offset double")
+    got = {r.voice: (r.kept, r.place) for r in kept_voices(n, ["unit"]).collect()}
+    assert got == {1: (True, 1), 2: (True, 2), 3: (False, 0), 4: (True, 3)}
+    assert collapse_voices(n, ["unit"]).select("voice_id").distinct().count() == 3
+
+
+def test_permutation_null_against_every_order(spark):
+    """Mean of the null against all orders of a small segment, by class too."""
+    import itertools
+
+    import numpy as np
+
+    from stavework.operators.patterns import _counted, permutation_null
+    from stavework.operators.sequences import segments
+
+    midi, ql = [60, 60, 60, 56, 58], [1.0, 1.0, 1.0, 2.0, 1.0]
+    rows = [(w, "x", "s", 0, v, i, m - 12 * v, q, float(i), 0.0, 4.0 - i % 4, 0) for w in range(40) for v in (0, 1) for i, (m, q) in enumerate(zip(midi, ql))]
+    n = spark.createDataFrame(rows, "work_id int, composer string, stratum string, movement_idx int, voice_id int, pos int, midi int, quarter_length double, offset double, gap_before double, bar_remaining double, from_chord int")
+    out = {(r.grouping, r.stat): r for r in permutation_null(segments(n), 400, min_notes=4, few=50).collect()}
+    iv = np.array(list(itertools.permutations(np.diff(midi))))
+    d = np.array(list(itertools.permutations(ql)))
+    means = {"D2": _counted(iv, np.ones((len(iv), 5)), np.zeros(2))[:, 0].mean(), "D3": _counted(np.ones((len(d), 4)), d, np.zeros(2))[:, 1].mean()}
+    for stat, mean in means.items():
+        r = out["all", stat]
+        assert r.obs == 80 and r.mean == pytest.approx(80 * mean, rel=0.05) and r.low <= r.mean <= r.high and r.permutations == 400
+    assert out["composer", "D2"].permutations == 50 and out["all", "D4"].obs == 80
+    assert out["all", "D4"].mean == pytest.approx(sum(out["all", f"D4:{c}"].mean for c in ("bass_cad", "bass_other", "other_cad", "other_other")))
+
+
+def test_forbidden_words_and_double_units_fail(spark):
+    from stavework.operators import calibrate, catalogue
+
+    rows = spark.createDataFrame([("p1", "Fine"), ("p2", "Secret Piece")], "pair string, title string")
+    assert calibrate.refuse(rows, ["title"], ["nothing"]).count() == 2
+    with pytest.raises(Exception, match="forbidden"):
+        calibrate.refuse(rows, ["title"], ["secret"]).collect()
+    with pytest.raises(Exception, match="twice"):
+        catalogue.unique_units(spark.createDataFrame([("u",), ("u",)], "unit_id string")).collect()

@@ -7,7 +7,8 @@ candidates of all tables are merged and ranked by the exact cosine.
 
 Buckets meet their probes by an equi-join on (table, bucket, slice); a bucket
 with many vectors is cut into slices of bounded size, each probed like the bucket,
-so nothing is capped. A bucket returns at most ``k`` candidates per query (and those
+so nothing is capped. Queries that found fewer than ``k`` are compared with every
+vector, in blocks. A bucket returns at most ``k`` candidates per query (and those
 tied with the last): no pair of vector and query is ever a row.
 """
 
@@ -120,6 +121,17 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
     index = index.join(slices, ["t", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).drop("slices")
     asked = rows.where(is_query).mapInPandas(bucketed(True), schema).join(slices, ["t", "bucket"]).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).drop("slices")
     near = index.groupBy("t", "bucket", "slice").cogroup(asked.groupBy("t", "bucket", "slice")).applyInPandas(_rank(k), "query_id long, vec_id long, score double")
-    merged = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = write_table(near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "ann-found").df()
+    queries = rows.where(is_query)
+    lacking = queries.join(found.groupBy("query_id").agg(F.count("*").alias("c")), F.col("id") == F.col("query_id"), "left").where(F.coalesce("c", F.lit(0)) < k).select("id", "raw")
+    lacking = write_table(lacking, "ann-lacking").df()
+    open_ = lacking.count()
+    if open_:
+        blocks, slabs = -(-open_ // slice_rows), -(-rows.count() // slice_rows)
+        part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+        left = rows.select("id", "raw", part(slabs, 1).alias("slab"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = lacking.select("id", "raw", part(blocks, 2).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+        all_ = left.groupBy("slab", "block").cogroup(right.groupBy("slab", "block")).applyInPandas(_rank(k), "query_id long, vec_id long, score double")
+        found = found.unionByName(all_).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

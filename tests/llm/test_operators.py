@@ -85,9 +85,10 @@ def test_bpe_round_trip(docs, empty):
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     tok = Tokenizer.from_file(path)
+    both = {r.doc_id: (r.ids, r.n_tokens, r.decoded) for r in bpe.encode(docs, path, decoded=True).collect()}
     for r in bpe.decode(bpe.encode(docs, path), path).collect():
         want = tok.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
-        assert (r.ids, r.n_tokens, r.decoded) == (" ".join(map(str, want)), len(want), tok.decode(want, skip_special_tokens=False))
+        assert (r.ids, r.n_tokens, r.decoded) == tuple(both[r.doc_id]) == (" ".join(map(str, want)), len(want), tok.decode(want, skip_special_tokens=False))
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
 
 
@@ -239,6 +240,66 @@ def test_vectors(spark):
     assert len(near) == 30 and hits >= 27
 
 
+def _links_by_force(x, cosine=0.9):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    part = list(range(len(x)))
+    for a, b in zip(*np.nonzero(s >= cosine)):
+        low, high = sorted((part[a], part[b]))
+        if low != high:
+            part = [low if p == high else p for p in part]
+    return (s >= cosine).sum(1).tolist(), part
+
+
+def test_near_embeddings_in_cells_of_several_levels(spark, monkeypatch):
+    from stavework.llm import near_embed
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 3))  # low dimension: distances to pivots tell much
+    x[500] = x[3]
+    seen = []
+    cells = near_embed._cells
+    monkeypatch.setattr(near_embed, "_cells", lambda *a: seen.append(cells(*a)) or seen[-1])
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_embed.near_duplicates(t, cosine=0.995, cell_rows=60, fan=4, block_rows=25, slab_rows=25).collect()}
+    links, part = _links_by_force(x, 0.995)
+    assert sum(links) > 1000 and len(seen[0]) > 5  # several levels were cut
+    assert [got[i].n_links for i in range(900)] == links and [got[i].component_id for i in range(900)] == part
+
+
+def test_vectors_awkward(spark):
+    """Nulls, empty and repeated rows, one vector in a third of all rows, lengths that differ, clashing columns."""
+    from stavework.llm import ann, near_embed
+
+    rng = np.random.default_rng(3)
+    same, few = [1.0, 2.0, 0.5, -1.0], [[float(v) for v in rng.normal(size=4)] for _ in range(20)]
+    rows = [(i, same if i < 10 else few[i - 10], "c", 1) for i in range(30)] + [(30, [1.0, 2.0], "c", 1), (31, [], "c", 1), (None, same, "c", 1), (32, [float("inf"), 1.0, 1.0, 1.0], "c", 1)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, n int")
+    got = {r.vec_id: r for r in near_embed.near_duplicates(t, cell_rows=4, fan=2, block_rows=3, slab_rows=3).collect()}
+    links, part = _links_by_force(np.array([same] * 10 + few))
+    assert [got[i].n_links for i in range(30)] == links and [got[i].component_id for i in range(30)] == part
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in (30, 31, 32)) and got[None].n_links == 0
+    for r in ann.search(t, "id in (0, 29, 30)").collect():
+        assert r.query_id != 30 and r.vec_id != r.query_id
+    near = sorted((r["rank"], r.vec_id) for r in ann.search(t, "id = 0", width=0.4).collect())
+    assert near == [(k, k) for k in range(1, 6)]  # ties go to the smaller id
+    empty = spark.createDataFrame([], t.schema)
+    assert near_embed.near_duplicates(empty).count() == 0 and ann.search(empty, "id = 0").count() == 0
+    twice = spark.createDataFrame([(1, same), (1, same), (2, few[0])], "vec_id long, embedding array<double>")
+    assert {r.component_id for r in near_embed.near_duplicates(twice).where("vec_id = 1").collect()} == {1}
+
+
+def test_few_candidates_are_all_found(spark):
+    """A query finds every candidate where there are fewer than k, however far away they are."""
+    from stavework.llm import ann
+
+    x = [[1.0, 0.0, 0.0], [-1.0, 0.1, 0.0], [0.0, -1.0, 0.2], [0.1, 0.0, -1.0]]
+    t = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in ann.search(t, "id = 0", n_probes=1, tables=1, width=0.2).orderBy("rank").collect()]
+    assert got == [(0, 3), (0, 2), (0, 1)]
+
+
 def test_licences_inherit(spark):
     from stavework.llm.licenses import scan
 

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,17 @@ def trim_memory() -> None:
         return
 
 
+@lru_cache(maxsize=1)
+def lean_memory() -> None:
+    """Let this worker give large arrays back as soon as they are freed (where the C library can)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)  # blocks from this size on are mapped by themselves
+        libc.mallopt(-1, 16 << 20)  # as much may stay free at the top of the heap
+    except (OSError, AttributeError):
+        return
+
+
 def folded(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (the fold of a row)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -40,7 +40,7 @@ _END = "\n"  # stands for the end-of-word mark inside the automaton; no piece ho
 class Bpe:
     """The tokenizer of a file: a BPE model with end-of-word marks and no decoder."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -295,32 +295,36 @@ def _pieces_of(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple
         yield a, len(texts)
 
 
-def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens): decimal ids of the whole text joined by one space, their number.
+def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens): decimal ids of the whole text joined by one space, their number;
+    with ``decoded`` also the text that these ids stand for, read from them (see ``decode``) in
+    the same pass.
 
-    Null and blank texts have no ids. Repeated rows are encoded alike, an empty table
-    gives an empty result. ``path`` must be readable on the executors (it is part of the
-    installed tokenizer files).
+    Null and blank texts have no ids and decode to the empty text. Repeated rows are encoded
+    alike, an empty table gives an empty result. ``path`` must be readable on the executors
+    (it is part of the installed tokenizer files).
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64()), *[("decoded", pa.string())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, of = tokenizer(path), decoder(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _pieces_of(texts):
                 ids, n = map(list, zip(*tok.encode_texts(texts[a:b])))
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(ids, pa.string()), pa.array(n, pa.int64())], schema=schema)
+                columns = [batch.column("doc_id")[a:b], pa.array(ids, pa.string()), pa.array(n, pa.int64())]
+                yield pa.record_batch(columns + [pa.array(map(of, ids), pa.string())] * decoded, schema=schema)
         # workers are reused by other stages: the cache goes with its task
         tok.cache.clear()
         trim_memory()
 
     rows = project(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, ids string, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, ids string, n_tokens long" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of ``encode`` with ``decoded``, the text that their ids stand for.
+    """The rows of ``encoded`` (doc_id, ids, n_tokens) with ``decoded``, the text that their ids
+    stand for.
 
     Only the ids are read: null or empty ids decode to the empty text, ids that no token has
     are left out, special tokens are kept. Repeated rows are decoded alike.

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import drop, free_shuffles, project, write_table
+from stavework.llm._env import drop, free_shuffles, lean_memory, project, write_table
 from stavework.llm._words import U, chunks, components, distinct_sorted, rolling, words_of
 from stavework.llm.components import connected_components
 
@@ -42,6 +42,7 @@ PART_PAIRS, BLOCK_TOKENS = 8_000, 1_000_000
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle."""
+    lean_memory()
     w = words_of(texts, lower=True)
     for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
         h = w.hash[a:b]

@@ -30,8 +30,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    done = bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

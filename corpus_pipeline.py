@@ -45,8 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digests of both directions."""
     import public_tokenizers
 
-    path = str(public_tokenizers.path("word_bpe_49k.json"))
-    done = bpe.decode(bpe.encode(docs, path), path)
+    done = bpe.encode(docs, str(public_tokenizers.path("word_bpe_49k.json")), decoded=True)
     return done.select("doc_id", "n_tokens", bpe.token_ids("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -133,3 +133,14 @@ def lda_topics(words: DataFrame, k: int = 4, iterations: int = 50, seed: int = 4
     found = model.describeTopics(6).collect()  # k rows of six words
     top = [(r.topic, i + 1, cv.vocabulary[t], w) for r in found for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights))]
     return words.sparkSession.createDataFrame(top, schema)
+
+
+def work_embeddings(sequences: DataFrame, by: str, dims: int = 64, steps: int = 5, seed: int = 42) -> DataFrame:
+    """(by, v): the mean of learnt token vectors of each work (Word2Vec stands in for a masked
+    language model). Every token counts; empty sequences have zeros."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    rows = sequences.select(by, F.transform(F.coalesce("tokens", F.array().cast("array<int>")), lambda t: t.cast("string")).alias("words"))
+    model = Word2Vec(vectorSize=dims, minCount=0, maxIter=steps, seed=seed, numPartitions=1, inputCol="words", outputCol="mean").fit(rows.where(F.size("words") > 0))
+    return model.transform(rows).select(by, vector_to_array("mean").alias("v"))

@@ -11,6 +11,8 @@ from stavework.functions import catalog as cat
 from stavework.functions.symbols import e_value, influence_weight, presence, rhythm_class, symbol_interval, symbol_rhythm
 from stavework.operators import background as bg
 from stavework.operators import curves, evaluate, patterns, similarity
+from stavework.operators.asof import asof_backward
+from stavework.operators.asof import bar_remaining as measured
 from stavework.operators.sequences import bass_voices, ngrams, segments, symbol_arrays
 from stavework.sources import files
 from stavework.sources.notes import NOTES_SQL, notes, table
@@ -429,11 +431,18 @@ def first_row_per_key(spark, sf_dir):
 @query("asof_join", "SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey, o_orderdate FROM orders GROUP BY o_custkey, o_orderdate) o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts")
 def asof_join(spark, sf_dir):
     """The last order of a user not after each event: one sort of the union, no range join."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id", F.lit(None).cast("long").alias("o_orderkey"), F.lit(1).alias("side"))
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("at")).agg(F.max("o_orderkey").alias("o_orderkey"))
-    both = e.unionByName(o.withColumn("event_id", F.lit(None).cast("long")).withColumn("side", F.lit(0)))
-    w = Window.partitionBy("k").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w)).where("side = 1").select("event_id", "o_orderkey")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"), "o_orderkey")
+    return asof_backward(e, o, ["k"], "at", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+@query("bar_remaining", f"WITH {NOTES_SQL}, m AS (SELECT DISTINCT work_id, floor(off / 3) * 3 AS b, CASE WHEN floor(off / 3) % 2 = 0 THEN 3.0 ELSE 4.0 END AS l FROM notes WHERE voice = 0) SELECT n.work_id, n.mov AS movement_idx, n.voice::BIGINT AS voice_id, n.pos, coalesce(m.b + m.l - n.off, -1) AS left_in_bar FROM notes n ASOF LEFT JOIN m ON m.work_id = n.work_id AND m.b <= n.off + 1e-9")
+def bar_remaining(spark, sf_dir):
+    """Measures are where the first voice has notes; the other voice's notes follow the last of them."""
+    n = notes(spark, sf_dir).withColumn("voice_id", F.col("voice_id").cast("long"))
+    b = F.floor(F.col("offset") / 3)
+    m = n.where("voice_id = 0").select("work_id", (b * 3).cast("double").alias("bar_offset"), F.when(b % 2 == 0, 3.0).otherwise(4.0).alias("bar_length")).distinct()
+    return measured(n, m, ["work_id"]).select("work_id", "movement_idx", "voice_id", "pos", F.col("bar_remaining").alias("left_in_bar"))
 
 
 @query("unit_work_pivot", "SELECT r_name, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery, count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")

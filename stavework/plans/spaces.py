@@ -8,6 +8,7 @@ from stavework.operators import calibrate as cal
 from stavework.operators import curves, evaluate, similarity, voices
 from stavework.operators.sequences import padded_windows, symbol_arrays
 from stavework.plans.queries import SYMBOLS_SQL, _segs, _steps, query
+from stavework.sources import files
 from stavework.sources.notes import NOTES_SQL, notes, table
 from stavework.sources.tables import merge_log, pending, report
 
@@ -174,3 +175,16 @@ def regression_check(spark, sf_dir):
     out = evaluate.regression_check(found, golden, tolerance=0.0005)
     return out.withColumn("deviation", F.round("deviation", 8))
 
+
+
+@query("work_embeddings")
+def work_embeddings(spark, sf_dir):
+    t = similarity.token_sequences(notes(spark, sf_dir), "work_id", ["movement_idx", "voice_id", "pos"])
+    v = similarity.work_embeddings(t, "work_id", dims=16, steps=1)
+    return v.select("work_id", F.size("v").alias("dims"), F.exists("v", lambda x: x != 0).alias("learnt"))
+
+
+@query("collection_roots", "SELECT split_part(replace(p_type, ' ', '/'), '/', 1) AS root, count(*) AS units FROM part WHERE split_part(replace(p_type, ' ', '/'), '/', 1) IN ('ECONOMY', 'STANDARD', 'PROMO') GROUP BY 1")
+def collection_roots(spark, sf_dir):
+    u = table(spark, sf_dir, "part").select(F.replace("p_type", F.lit(" "), F.lit("/")).alias("collection"))
+    return files.of_collections(u, ["ECONOMY", "STANDARD", "PROMO"]).groupBy(files.collection_root(F.col("collection")).alias("root")).agg(F.count("*").alias("units"))

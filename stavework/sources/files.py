@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stavework.functions.catalog import fraction
@@ -61,6 +64,49 @@ def flatten_notes(rows: DataFrame) -> DataFrame:
     return out.select(*part, (F.col("note_no") + 1).alias("pos"), "voice", "onset", "midi", "dur", "from_chord", "gap_before", "bar_remaining")
 
 
+def parse_scores(files: DataFrame, parsers: dict[str, Callable[[bytes], list[tuple]]], fallback: Callable[[bytes], list[tuple]] | None = None) -> DataFrame:
+    """Events of score files, by the parser of their format; other formats, and files their parser
+    fails on, go to ``fallback``.
+
+    ``files``: unit_id, format, content. A parser turns bytes into rows (voice, onset, dur, midi); it is
+    a plain function, since notations need a library of their own. Returns unit_id, status (ok or
+    fail), error, voice, onset, dur, midi: a file that nothing can read is one row with its error.
+    """
+
+    def read(kind: str, content: bytes) -> tuple[list[tuple], str]:
+        error = f"no parser for {kind}"
+        for parse in (parsers.get(kind), fallback):
+            if parse is not None:
+                try:
+                    return list(parse(content)), ""
+                except Exception as e:  # noqa: BLE001  any fault of a foreign parser is the file's
+                    error = f"{type(e).__name__}: {e}"[:200]
+        return [], error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for unit, kind, content in zip(pdf.unit_id, pdf.format, pdf.content):
+                rows, error = read(kind, bytes(content or b""))
+                events = [(unit, "ok", None, *r) for r in rows] if not error else [(unit, "fail", error, None, None, None, None)]
+                yield pd.DataFrame(events, columns=["unit_id", "status", "error", "voice", "onset", "dur", "midi"])
+
+    return files.select("unit_id", "format", "content").mapInPandas(run, "unit_id string, status string, error string, voice int, onset double, dur double, midi int")
+
+
+def of_collections(units: DataFrame, names: list[str]) -> DataFrame:
+    """Units whose collection, or its root (the part before the first slash), is among ``names``."""
+    return units.where(F.col("collection").isin(*names) | collection_root(F.col("collection")).isin(*names))
+
+
+def collection_root(collection: Column) -> Column:
+    return F.substring_index(collection, "/", 1)
+
+
+def short_label(name: Column, separator: str = " · ") -> Column:
+    """The second part of a name, or the whole of it."""
+    return F.coalesce(F.try_element_at(F.split(name, separator, -1), F.lit(2)), name)
+
+
 def keep_existing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Full-outer merge: values already there win, new rows are added."""
     columns = [c for c in new.columns if c != key]

@@ -266,3 +266,29 @@ def test_forbidden_words_and_double_units_fail(spark):
         calibrate.refuse(rows, ["title"], ["secret"]).collect()
     with pytest.raises(Exception, match="twice"):
         catalogue.unique_units(spark.createDataFrame([("u",), ("u",)], "unit_id string")).collect()
+
+
+def test_parsers_fall_back_and_report(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.sources import files
+
+    def lines(content):
+        return [(1, float(i), 1.0, int(x)) for i, x in enumerate(content.split())]
+
+    rows = [("a", "plain", b"60 62"), ("b", "plain", b"60 x"), ("c", "other", b""), ("d", "plain", None)]
+    t = spark.createDataFrame(rows, "unit_id string, format string, content binary")
+    got = sorted((r.unit_id, r.status, r.midi) for r in files.parse_scores(t, {"plain": lines}).collect())
+    assert got == [("a", "ok", 60), ("a", "ok", 62), ("b", "fail", None), ("c", "fail", None)]
+    assert {r.status for r in files.parse_scores(t, {"plain": lines}, fallback=lambda c: [(1, 0.0, 1.0, 1)]).collect()} == {"ok"}
+    shown = spark.createDataFrame([("1 · Aria",), ("Aria",)], "n string").select(files.short_label(F.col("n")).alias("l")).collect()
+    assert [r.l for r in shown] == ["Aria", "Aria"]
+
+
+def test_paths_resolve_by_scheme(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators.catalogue import resolved
+
+    t = spark.createDataFrame([("a/b.krn",), ("lib:c/d.xml",)], "p string").select(resolved(F.col("p"), "/raw/", {"lib": "/opt/lib"}).alias("f"))
+    assert [r.f for r in t.collect()] == ["/raw/a/b.krn", "/opt/lib/c/d.xml"]

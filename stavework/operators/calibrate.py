@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stavework.functions.symbols import presence
 from stavework.operators import background as bg
 from stavework.operators.running import running
+from stavework.sources.tables import scratch, store
 
 
 def sample_rows(rows: DataFrame, key: list[str], size: int, seed: int = 20260903) -> DataFrame:
@@ -31,6 +32,11 @@ def held_out_works(counts: DataFrame, share: float = 0.2, seed: int = 20260903)
     return counts.select("work_id").distinct().where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") < share * 2.0**32)
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """A table that several models read, worked out once."""
+    return store(rows, scratch(rows.sparkSession, name))
+
+
 def _out(*composers: str) -> Column:
     return F.array_sort(F.array_distinct(F.array(*composers)))
 
@@ -46,14 +52,14 @@ def scored_pairs(counts: DataFrame, queries: DataFrame, m: int, alpha: float = 1
     top = counts.where(F.col("n") == m + 1)
     works = top.groupBy("composer", "work_id").agg(F.sum("c").alias("windows_b")).withColumnsRenamed({"composer": "composer_b", "work_id": "work_b"})
     # composers are a small dimension beside their works
-    out = queries.crossJoin(F.broadcast(works.select("composer_b").distinct())).where("composer <> composer_b").select("q", "query", "composer_b", _out("composer", "composer_b").alias("out"))
+    out = _kept(queries.crossJoin(F.broadcast(works.select("composer_b").distinct())).where("composer <> composer_b").select("q", "query", "composer_b", _out("composer", "composer_b").alias("out")), "asked-pairs")
     whole = counts.withColumn("g", F.lit("all"))
     kn = bg.kneser_ney_without(bg.net_counts(whole, "g", "composer"), d, out.withColumn("g", F.lit("all")), m).select("out", "query", F.col("p").alias("p_kn"))
     lap = bg.laplace_without(counts, out, m + 1, alpha).select("out", "query", F.col("p").alias("p_laplace"))
     df = bg.document_frequency_without(counts, d, out, m).select("out", "query", "df")
     by_composer = out.join(kn, ["out", "query"]).join(lap, ["out", "query"]).join(df, ["out", "query"])
-    pairs = by_composer.join(works, "composer_b")
-    alone = pairs.select(F.col("composer_b").alias("g"), F.array("work_b").alias("out"), "query").distinct()
+    pairs = _kept(by_composer.join(works, "composer_b"), "model-pairs")
+    alone = _kept(pairs.select(F.col("composer_b").alias("g"), F.array("work_b").alias("out"), "query").distinct(), "asked-works")
     comp = bg.kneser_ney_without(bg.net_counts(counts, "composer", "work_id"), d, alone, m).select(F.col("g").alias("composer_b"), F.col("out")[0].alias("work_b"), "query", F.col("p").alias("p_comp"))
     seen = top.groupBy(F.col("work_id").alias("work_b"), F.col("gram").alias("query")).agg(F.sum("c").alias("observed"))
     rows = pairs.join(comp, ["composer_b", "work_b", "query"], "left").join(seen, ["work_b", "query"], "left")
@@ -81,7 +87,7 @@ def summary_by_seen(queries: DataFrame, models: tuple[str, ...] = ("laplace", "k
 
 def best_model(summary: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
     """The model of least error among those whose slope lies between the bounds."""
-    return summary.where(F.col("slope").between(low, high)).agg(F.min_by("model", F.struct("mae", "model")).alias("model"), F.min("mae").alias("mae"))
+    return summary.where(F.col("slope").between(low, high)).agg(F.min_by("model", F.struct(F.round("mae", 9).alias("a"), "model")).alias("model"), F.min("mae").alias("mae"))
 
 
 def deleted_interpolation(counts: DataFrame, windows: DataFrame, m: int, share: float = 0.2, most: int = 150, steps: int = 20) -> DataFrame:
@@ -112,7 +118,7 @@ def deleted_interpolation(counts: DataFrame, windows: DataFrame, m: int, share:
 
 def best_lambda(grid: DataFrame) -> DataFrame:
     """The weight of the largest log-likelihood; the smallest such weight on ties."""
-    return grid.agg(F.min_by("lam", F.struct((-F.col("loglik")).alias("a"), "lam")).alias("lam"), F.max("loglik").alias("loglik"))
+    return grid.agg(F.min_by("lam", F.struct((-F.round("loglik", 6)).alias("a"), "lam")).alias("lam"), F.max("loglik").alias("loglik"))
 
 
 def lambda_calibration(pairs: DataFrame, steps: int = 20) -> DataFrame:
@@ -127,7 +133,7 @@ def lambda_calibration(pairs: DataFrame, steps: int = 20) -> DataFrame:
 
 def least_bias(grid: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
     """The weight of least absolute bias among those whose slope lies between the bounds."""
-    return grid.where(F.col("slope").between(low, high)).agg(F.min_by("lam", F.struct(F.abs("bias").alias("a"), "lam")).alias("lam"))
+    return grid.where(F.col("slope").between(low, high)).agg(F.min_by("lam", F.struct(F.round(F.abs("bias"), 9).alias("a"), "lam")).alias("lam"))
 
 
 def pair_instances(counts: DataFrame, arrays: DataFrame, pairs: DataFrame, m: int, lam: float) -> DataFrame:
@@ -142,7 +148,7 @@ def pair_instances(counts: DataFrame, arrays: DataFrame, pairs: DataFrame, m: in
     size = arrays.groupBy("work_id").agg(F.count("*").alias("windows_b"))
     p = pairs.join(who.toDF("work_a", "ca"), "work_a").join(who.toDF("work_b", "cb"), "work_b").withColumn("out", _out("ca", "cb"))
     a, b = held.toDF("work_a", "query", "occ_a", "movements"), held.drop("movements").toDF("work_b", "query", "occ_b")
-    both = p.join(a, "work_a").join(b, ["work_b", "query"]).join(size.withColumnRenamed("work_id", "work_b"), "work_b")
+    both = _kept(p.join(a, "work_a").join(b, ["work_b", "query"]).join(size.withColumnRenamed("work_id", "work_b"), "work_b"), "shared-types")
     d = bg.discounts(counts).select((F.col("n") - 1).alias("o"), "discount")
     all_ = counts.withColumn("g", F.lit("all"))
     kn = bg.kneser_ney_without(bg.net_counts(all_, "g", "composer"), d, both.select(F.lit("all").alias("g"), "out", "query"), m).select("out", "query", F.col("p").alias("ps"))

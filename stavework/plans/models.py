@@ -157,7 +157,7 @@ def calibration_by_model(spark, sf_dir):
     return s.select("model", "rows", "n", *[F.round(c, 5).alias(c) for c in ("slope", "mae", "bias", "ratio")])
 
 
-@query("model_selection", f"WITH {_PER_QUERY_SQL} SELECT arg_min(model, (mae, model)) AS model, round(min(mae), 5) AS mae FROM sm WHERE rows = 'all' AND slope BETWEEN 0.2 AND 1.8")
+@query("model_selection", f"WITH {_PER_QUERY_SQL} SELECT arg_min(model, (round(mae, 9), model)) AS model, round(min(mae), 5) AS mae FROM sm WHERE rows = 'all' AND slope BETWEEN 0.2 AND 1.8")
 def model_selection(spark, sf_dir):
     """Wide bounds of the slope: the synthetic notes are close to independent draws."""
     s = cal.summary_by_seen(cal.per_query(_pairs(spark, sf_dir), LAM)).where("rows = 'all'")
@@ -182,7 +182,7 @@ def lambda_calibration(spark, sf_dir):
     return g.select("lam", *[F.round(c, 5).alias(c) for c in ("slope", "mae", "bias", "ratio")])
 
 
-@query("lambda_of_least_bias", f"WITH {_GRID_SQL} SELECT arg_min(lam, (abs(bias), lam)) AS lam FROM gr WHERE slope BETWEEN 0.2 AND 1.8")
+@query("lambda_of_least_bias", f"WITH {_GRID_SQL} SELECT arg_min(lam, (round(abs(bias), 9), lam)) AS lam FROM gr WHERE slope BETWEEN 0.2 AND 1.8")
 def lambda_of_least_bias(spark, sf_dir):
     return cal.least_bias(cal.lambda_calibration(_pairs(spark, sf_dir)), 0.2, 1.8)
 
@@ -209,7 +209,7 @@ def deleted_interpolation(spark, sf_dir):
     return _deleted(spark, sf_dir).select("lam", F.round("loglik", 4).alias("loglik"), "windows")
 
 
-@query("lambda_of_most_likelihood", f"WITH {_HELD_SQL} SELECT arg_max(lam, (loglik, -lam)) AS lam, round(max(loglik), 4) AS loglik FROM ll HAVING count(*) > 0")
+@query("lambda_of_most_likelihood", f"WITH {_HELD_SQL} SELECT arg_max(lam, (round(loglik, 6), -lam)) AS lam, round(max(loglik), 4) AS loglik FROM ll HAVING count(*) > 0")
 def lambda_of_most_likelihood(spark, sf_dir):
     return cal.best_lambda(_deleted(spark, sf_dir)).where("lam is not null").select("lam", F.round("loglik", 4).alias("loglik"))
 

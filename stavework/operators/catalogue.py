@@ -242,6 +242,21 @@ def date_summary(works: DataFrame) -> DataFrame:
     return open_.groupBy("collection").agg(F.count("*").alias("undated"), F.count_if(F.col("period") != "unknown").alias("with_period"), F.count_if(F.col("period") == "unknown").alias("unknown"))
 
 
+def counters(units: DataFrame, by: list[str]) -> DataFrame:
+    """(by, units, works) of every combination of ``by``, and of each subset of them from the left."""
+    sets = [by[:k] for k in range(len(by) + 1)]
+    grouped = units.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by])
+    return grouped.agg(F.count("*").alias("units"), F.countDistinct("work_id").alias("works"))
+
+
+def units_by_works(units: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """(row, one column per value): 'units (works)' of a catalogue, 0 where there are none."""
+    cells = units.groupBy(row, column).agg(F.count("*").alias("u"), F.countDistinct("work_id").alias("w"))
+    shown = cells.select(row, column, F.concat(F.col("u").cast("string"), F.lit(" ("), F.col("w").cast("string"), F.lit(")")).alias("c"))
+    wide = shown.groupBy(row).pivot(column, values).agg(F.first("c"))
+    return wide.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit("0 (0)")).alias(v) for v in values])
+
+
 def resolved(path: Column, root: str, schemes: dict[str, str]) -> Column:
     """A catalogue path as a full one: its scheme's folder, or the root."""
     out = F.concat(F.lit(root.rstrip("/") + "/"), path)

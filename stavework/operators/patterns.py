@@ -67,6 +67,12 @@ def trigram_ranks(wins: DataFrame, top: int, by: tuple[str, ...] = ()) -> DataFr
     return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def of_large_groups(works: DataFrame, key: str, least: int = 5) -> DataFrame:
+    """Works of the groups (composers) that have at least ``least`` of them."""
+    enough = works.groupBy(key).agg(F.countDistinct("work_id").alias("n")).where(F.col("n") >= least).select(key)
+    return works.join(enough, key, "left_semi")
+
+
 def in_strata(works: DataFrame, mapping: DataFrame, on: str = "stratum", to: str = "group") -> DataFrame:
     """Rows once for every group that their stratum belongs to (a many-to-many table)."""
     return works.join(F.broadcast(mapping.select(F.col(on).alias("__on"), F.col(to))), F.col(on) == F.col("__on")).drop("__on")

@@ -230,3 +230,13 @@ def catalogue_numbers(spark, sf_dir):
 @query("accents_off", "SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain_md5 FROM documents")
 def accents_off(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cat.plain(F.coalesce("text", F.lit("")))).alias("plain_md5"))
+
+
+@query("catalogue_counters", f"WITH {_DATED} SELECT year_source, period, count(*) AS units, count(DISTINCT work_id) AS works FROM dt GROUP BY GROUPING SETS ((), (year_source), (year_source, period))")
+def catalogue_counters(spark, sf_dir):
+    return units.counters(_dated(spark, sf_dir), ["year_source", "period"])
+
+
+@query("units_and_works", f"WITH {_DATED} SELECT composer_id, count(*) FILTER (year_source = 'manual') || ' (' || count(DISTINCT work_id) FILTER (year_source = 'manual') || ')' AS manual, count(*) FILTER (year_source = 'composer_lifespan') || ' (' || count(DISTINCT work_id) FILTER (year_source = 'composer_lifespan') || ')' AS composer_lifespan, count(*) FILTER (year_source = 'missing') || ' (' || count(DISTINCT work_id) FILTER (year_source = 'missing') || ')' AS missing FROM dt GROUP BY 1")
+def units_and_works(spark, sf_dir):
+    return units.units_by_works(_dated(spark, sf_dir), "composer_id", "year_source", ["manual", "composer_lifespan", "missing"])

@@ -137,6 +137,12 @@ def pooled_rates(spark, sf_dir):
     return p.select("group", "windows", *[F.round(f"{d}_rate", 6).alias(f"{d}_rate") for d in patterns.DEFINITIONS])
 
 
+@query("rates_of_large_composers", f"WITH {WINDOWS_SQL} SELECT composer, count(*) AS works, sum(windows)::BIGINT AS windows, {_RATES} FROM by_work GROUP BY 1 HAVING count(*) >= 6")
+def rates_of_large_composers(spark, sf_dir):
+    works = patterns.of_large_groups(patterns.by_work(_wins(spark, sf_dir)), "composer", 6)
+    return patterns.rates(works, [("composer",)]).select("composer", "works", "windows", *[f"{d}_rate" for d in patterns.DEFINITIONS])
+
+
 @query("rate_report", f"WITH {WINDOWS_SQL} SELECT composer, sum(windows)::BIGINT AS windows, sum(n3)::BIGINT AS D3 FROM by_work GROUP BY 1 HAVING sum(windows) >= 200 ORDER BY windows DESC, composer LIMIT 12")
 def rate_report(spark, sf_dir):
     r = patterns.rates(patterns.by_work(_wins(spark, sf_dir)), [("composer",)])

@@ -292,3 +292,22 @@ def test_paths_resolve_by_scheme(spark):
 
     t = spark.createDataFrame([("a/b.krn",), ("lib:c/d.xml",)], "p string").select(resolved(F.col("p"), "/raw/", {"lib": "/opt/lib"}).alias("f"))
     assert [r.f for r in t.collect()] == ["/raw/a/b.krn", "/opt/lib/c/d.xml"]
+
+
+def test_streaming_sessions_equal_the_batch(spark, tmp_path):
+    from stavework.sources.notes import table
+    from stavework.streaming.sessions import event_sessions
+
+    events = table(spark, SF, "events")
+    # one late event a year on closes all sessions of the stream
+    from pyspark.sql import functions as F
+
+    last = events.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 400 days")).withColumn("user_id", F.lit(-1).cast("long"))
+    events.write.parquet(f"{tmp_path}/in/a")
+    last.write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/in")
+    q = event_sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination(180)
+    rows = lambda df: sorted((r.user_id, str(r.start), r.events, round(r.total, 3)) for r in df.where("user_id >= 0").collect())
+    got = rows(spark.table("sessions"))
+    assert got and set(got) <= set(rows(event_sessions(events)))

@@ -122,8 +122,8 @@ def lean_memory() -> None:
     """Let this worker give large arrays back as soon as they are freed (where the C library can)."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 8 << 20)  # blocks from this size on are mapped by themselves
-        libc.mallopt(-1, 16 << 20)  # as much may stay free at the top of the heap
+        libc.mallopt(-3, 1 << 20)  # blocks from this size on are mapped by themselves
+        libc.mallopt(-1, 4 << 20)  # as much may stay free at the top of the heap
     except (OSError, AttributeError):
         return
 

@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,6 +35,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 #: str.split() also cuts at these, which are not White_Space.
 _ODD_CUTS = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(f"[^{WHITE}]+")
+#: Words of more letters are merged one by one.
+MATRIX = 32
 _END = "\n"  # stands for the end-of-word mark inside the automaton; no piece holds it
 
 
@@ -66,6 +69,8 @@ class Bpe:
         keys = np.array([a * n + b for a, b in self.merge], np.int64)
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self._result = np.zeros(len(keys), np.int64)  # of the merge of each rank
+        self._result[[r for r, _ in self.merge.values()]] = [t for _, t in self.merge.values()]
         self.sound = self._self_encoding()
         self._finder = ahocorasick.Automaton()
         for t, i in self.vocab.items():
@@ -138,25 +143,49 @@ class Bpe:
 
     # -- words ------------------------------------------------------------------
 
-    def merged(self, word: str) -> list[int]:
-        """Exact merging of a word given in byte letters: lowest rank first, leftmost first."""
-        part = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.mark]]
-        if len(part) > 48:
-            return self._merged_long(part)
-        get, none = self.merge.get, (1 << 60, -1)
-        due = [get(p, none) for p in zip(part, part[1:])]
-        while due:
-            first = min(due)
-            if first is none:
-                break
-            i = due.index(first)
-            part[i : i + 2] = (first[1],)
-            del due[i]
-            if i:
-                due[i - 1] = get((part[i - 1], part[i]), none)
-            if i < len(due):
-                due[i] = get((part[i], part[i + 1]), none)
-        return part
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of words given in byte letters: lowest rank first, leftmost first.
+
+        Words of one batch are rows of a matrix; every round merges one pair of each word that
+        still has one to merge.
+        """
+        parts = [[*map(self.vocab.__getitem__, w[:-1]), self.vocab[w[-1] + self.mark]] for w in words]
+        out: list[list[int] | None] = [self._merged_long(p) if len(p) > MATRIX else None for p in parts]
+        rows = sorted((i for i, o in enumerate(out) if o is None), key=lambda i: len(parts[i]))
+        for a in range(0, len(rows), 4096):  # words of about one length share a matrix
+            part = rows[a : a + 4096]
+            for i, p in zip(part, self._merge_rows([parts[i] for i in part])):
+                out[i] = p
+        return out
+
+    def _merge_rows(self, parts: list[list[int]]) -> list[list[int]]:
+        size = np.array([len(p) for p in parts])
+        wide = int(size.max())
+        m = np.full((len(parts), wide), -1, np.int64)
+        m[np.arange(wide) < size[:, None]] = np.fromiter(chain.from_iterable(parts), np.int64, int(size.sum()))
+        never = np.iinfo(np.int64).max
+        due = np.where(m[:, 1:] >= 0, self._pair_rank(m[:, :-1], m[:, 1:]), never)
+        live = np.flatnonzero(due.min(1) < never) if wide > 1 else np.zeros(0, np.int64)
+        x, d, columns = m[live], due[live], np.arange(wide)
+        while len(live):
+            j = d.argmin(1)
+            row = np.arange(len(live))
+            x[row, j] = self._result[d[row, j]]
+            # what follows the merged pair moves up by one
+            take = columns + (columns > j[:, None])
+            take[:, -1] = wide - 1
+            x = np.take_along_axis(x, take, 1)
+            size[live] -= 1
+            x[row, size[live]] = -1
+            d = np.take_along_axis(d, np.minimum(columns[:-1] + (columns[:-1] > j[:, None]), wide - 2), 1)
+            d[row, np.maximum(size[live] - 1, 0)] = never
+            for k, there in ((j - 1, j > 0), (j, j + 1 < size[live])):
+                at = np.flatnonzero(there)
+                d[at, k[at]] = self._pair_rank(x[at, k[at]], x[at, k[at] + 1])
+            more = d.min(1) < never
+            m[live[~more]] = x[~more]
+            live, x, d = live[more], x[more], d[more]
+        return [r[:n] for r, n in zip(m.tolist(), size.tolist())]
 
     def _merged_long(self, part: list[int]) -> list[int]:
         """The same over a heap of due merges, for words of any length."""
@@ -195,8 +224,9 @@ class Bpe:
         np.logical_and.at(good, owner[inside], self.compatible(piece[inside], piece[inside + 1]))
         pieces = piece.tolist()
         out = [pieces[b - s : b] if g else None for g, s, b in zip(good.tolist(), size.tolist(), final.tolist())]
-        for i in np.flatnonzero(~good).tolist():
-            out[i] = self.merged(words[i])
+        failed = np.flatnonzero(~good).tolist()
+        for i, pieces_ in zip(failed, self.merged([words[i] for i in failed])):
+            out[i] = pieces_
         self.merged_words += int((~good).sum())
         return out
 
@@ -209,6 +239,10 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
+                if part.isascii() and part.isprintable():
+                    low = part.lower()
+                    out += [low] if low.isalpha() else self._split.findall(low)
+                    continue
                 # lower case letter by letter: str.lower() alone would look at a sigma's neighbours
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 words = [low] if low.isalpha() else self._split.findall(low)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import folded, free_shuffles, input_splits, project, trim_memory, write_table
+from stavework.llm._env import folded, free_shuffles, input_splits, lean_memory, project, trim_memory, write_table
 from stavework.llm._packed import get, get_sorted, put, put_sorted
 from stavework.llm._words import U, chunks, mix, words_of
 
@@ -109,6 +109,7 @@ class Names:
 
 def _batch(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(word, the words before it, text) of every token, the end of each text included."""
+    lean_memory()
     w = words_of(texts, lower=True)
     n = len(texts)
     at = w.first[1:] + np.arange(n)  # where the ends go
@@ -211,6 +212,7 @@ def _ngrams(bits: int, names: Names, uni: Unigrams, order: int):
     order by context, (3) sums over the followers of hot contexts, (4) counts of counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean_memory()
         p = list(pdf.payload)
         w = np.concatenate([np.repeat(get_sorted(x[0]), get(x[1], np.uint32)) for x in p])
         before = [np.concatenate([names.get(x[7 + 2 * k], x[8 + 2 * k]) for x in p]) for k in range(order - 1)]

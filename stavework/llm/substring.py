@@ -3,8 +3,8 @@
 A repeat of w words holds a whole aligned block of b = (w + 1) // 2 words wherever it
 lies. So the index takes the non-overlapping blocks of every text, and every rolling
 window of b words of every text probes it; a hit in another text is extended to all
-w-word windows around it, these are matched exactly, and consecutive ones merge into
-maximal repeats.
+w-word windows around it, these are matched by a 64-bit hash of their words, and
+consecutive ones merge into maximal repeats.
 
 Index and probes meet in hash buckets as compressed sorted signatures of each batch
 (a window shared by a third of all texts is one number per batch). The buckets answer
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavework.llm import _packed
-from stavework.llm._env import free_shuffles, input_splits, project, write_table
+from stavework.llm._env import free_shuffles, input_splits, lean_memory, project, write_table
 from stavework.llm._words import U, Words, chunks, rolling, words_of
 
 SIGNATURE_BITS = 40
@@ -35,6 +35,7 @@ BROADCAST_BYTES = 16_000_000
 
 def _windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of each window that lies within one text."""
+    lean_memory()
     h = rolling(w.hash, width)
     at = np.flatnonzero(w.doc[: len(h)] == w.doc[width - 1 :]) if len(h) else np.zeros(0, np.int64)
     return at, h[at]
@@ -51,7 +52,7 @@ def _signatures(width: int, bucket_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 8_000_000):
+            for _, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 4_000_000):
                 w = words_of(texts, lower=False)
                 at, h = _windows(w, width)
                 if not len(at):
@@ -152,8 +153,11 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         bits[r["bucket"] * step : (r["bucket"] + 1) * step] = _packed.get(bytes(r["bits"]), np.uint8)
     free_shuffles(spark)
     filter_ = spark.sparkContext.broadcast(bits)
-    found = write_table(rows.mapInArrow(_passing(filter_, width, block, bucket_bits), "h long, doc_id long, pos int"), "near-windows").df()
+    found_table = write_table(rows.mapInArrow(_passing(filter_, width, block, bucket_bits), "h long, doc_id long, pos int"), "near-windows")
+    filter_.unpersist()
+    found = found_table.df()
     first = write_table(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), "repeated-windows").df()
+    free_shuffles(spark)
     small = first.count() * 16 <= BROADCAST_BYTES
     later = found.join(F.broadcast(first) if small else first, "h").where("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("pos")).mapInPandas(_runs(width), "id long, spans array<int>")

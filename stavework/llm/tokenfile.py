@@ -145,6 +145,11 @@ class Places:
             h, number, at = h[~mine], number[~mine], (at[~mine] + 1) & mask
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number."""
+    return np.ndarray((len(buf) - 8,), "<u8", buf, 0, (1,))
+
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 # bytes that may end, or begin, a white space character outside ASCII
@@ -158,8 +163,9 @@ class Encoder:
 
     For byte-level vocabularies a text may be cut before a single space unless white
     space stands on both sides of it; texts with such places, or with the text of a
-    special token, are encoded in one piece. Runs are known by a 64-bit hash (exact up
-    to eight bytes of one length).
+    special token, are encoded in one piece. Runs are found by a 64-bit hash and compared
+    byte by byte with the run they were learnt from; a text with a run that only shares
+    its hash is encoded in one piece too.
     """
 
     _RUN = re.compile(r"\s (?:\s|\Z)")
@@ -186,6 +192,38 @@ class Encoder:
         self.places = Places()
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.off, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        # of each run: its length, and where its bytes stand in raw
+        self.size, self.at = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int64)
+        self.raw, self.raw_used = np.zeros(1 << 22, np.uint8), 8
+
+    def _keep_bytes(self, k: int, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size = end - start
+        total = int(size.sum())
+        while self.raw_used + total + 16 > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
+        place = self.raw_used + np.cumsum(size) - size
+        self.raw[self.raw_used : self.raw_used + total] = buf[np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)]
+        self.raw_used += total
+        self.size[k : k + len(start)], self.at[k : k + len(start)] = size, place
+
+    def _differs(self, at: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Runs whose bytes are not those of the run of the same hash. Up to eight bytes the hash
+        is a bijection for each length."""
+        size = (end - start).astype(np.int32)
+        bad = self.size[at] != size
+        long_ = np.flatnonzero(size > 8)
+        a, b, left = start[long_], self.at[at[long_]], size[long_] - 8
+        mine, held = _lanes(buf), _lanes(self.raw)
+        unlike = mine[a] != held[b]
+        while len(long_):
+            bad[long_[unlike]] = True
+            step = np.minimum(left, 8)  # the last eight bytes may overlap those before
+            a, b, left = a + step, b + step, left - step
+            unlike = mine[a] != held[b]
+            more = left > 0
+            bad[long_[unlike & ~more]] = True
+            long_, a, b, left, unlike = long_[more], a[more], b[more], left[more], unlike[more]
+        return np.flatnonzero(bad)
 
     def _plain_runs(self, runs: list[str], bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of runs that a space leads and that neither start nor end
@@ -199,7 +237,7 @@ class Encoder:
             raise ValueError("a token crosses the space between two runs")
         return ids, np.diff(last, prepend=-1)
 
-    def _learn(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, raw: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         runs = [str(raw[a:b], "utf-8") for a, b in zip(start.tolist(), end.tolist())]
         plain = np.array([r[0] == " " and not r[1:2].isspace() and not r[-1].isspace() for r in runs], bool)
         ids, size = self._plain_runs([r for r, p in zip(runs, plain.tolist()) if p], (end - start)[plain])
@@ -211,11 +249,14 @@ class Encoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while k + len(runs) > len(self.off):
-            self.off, self.len = (np.concatenate((x, np.zeros_like(x))) for x in (self.off, self.len))
+            for name in ("off", "len", "size", "at"):
+                setattr(self, name, np.concatenate((x := getattr(self, name), np.zeros_like(x))))
         self.flat[self.used : self.used + len(ids)] = ids
         self.off[k : k + len(runs)] = self.used + np.cumsum(size) - size
         self.len[k : k + len(runs)] = size
-        self.places.add(np.concatenate((h[plain], h[~plain])))
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        self._keep_bytes(k, buf, start[order], end[order])
+        self.places.add(h[order])
         self.used += len(ids)
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,20 +276,21 @@ class Encoder:
         if len(lacking := np.flatnonzero(at < 0)):
             new, first = np.unique(h[lacking], return_index=True)
             first = lacking[first]
-            self._learn(new, raw, start[first], end[first])
+            self._learn(new, raw, buf, start[first], end[first])
             at[lacking] = self.places.find(h[lacking])
+        differs = self._differs(at, buf, start, end)
         size = self.len[at]
         ids = self.flat[np.repeat(self.off[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
         ends = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, edge)]
         lengths = np.diff(ends)
-        whole = self._whole(texts, raw, buf, space, edge)
+        whole = self._whole(texts, raw, buf, space, edge, start[differs])
         if whole:
             parts = [whole.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, lengths
 
-    def _whole(self, texts: pa.StringArray, raw: bytes, buf: np.ndarray, space: np.ndarray, edge: np.ndarray) -> dict[int, np.ndarray]:
-        """Ids of the texts that must not be cut."""
+    def _whole(self, texts: pa.StringArray, raw: bytes, buf: np.ndarray, space: np.ndarray, edge: np.ndarray, unknown: np.ndarray) -> dict[int, np.ndarray]:
+        """Ids of the texts that must not be cut, or hold an ``unknown`` run."""
         last = np.zeros(len(buf), bool)
         last[edge[1:]] = True
         inner = space[space > 0]
@@ -259,9 +301,10 @@ class Encoder:
                 odd.append(i)
                 i = raw.find(s, i + 1)
         out = {}
-        for k in np.unique(np.searchsorted(edge, np.array(odd, np.int64), side="right") - 1).tolist():
+        must = set((np.searchsorted(edge, unknown, side="right") - 1).tolist())
+        for k in sorted(must | set((np.searchsorted(edge, np.array(odd, np.int64), side="right") - 1).tolist())):
             t = texts[k].as_py()
-            if self._RUN.search(t) or any(s.decode() in t for s in self.special):
+            if k in must or self._RUN.search(t) or any(s.decode() in t for s in self.special):
                 out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
         return out
 

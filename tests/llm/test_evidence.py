@@ -270,3 +270,23 @@ def test_tables_are_dropped_when_consumed(spark):
     df = spark.createDataFrame([(i, _text(20)) for i in range(30)], "doc_id long, text string")
     ngram_join.jaccard_classes(df).collect()
     assert len(set(_env._live) - before) <= 6
+
+
+def test_runs_that_share_a_hash_get_their_own_ids(monkeypatch):
+    """With a hash of a few values only, almost every run meets another one of its hash."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from stavework.llm import tokenfile
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    full = tokenfile.hash_spans
+    texts = [_text(n) + " " + "".join(rng.choice("abcxyz") for _ in range(3 * n)) for n in (5, 40, 90, 200)] * 2
+    for values in (1, 7, 500):
+        monkeypatch.setattr(tokenfile, "hash_spans", lambda buf, a, b: full(buf, a, b) % np.uint64(values) + np.uint64(1))  # noqa: B023
+        enc = tokenfile.Encoder(path)
+        for k in range(0, len(texts), 2):
+            ids, sizes = enc(pa.array(texts[k : k + 2], pa.string()))
+            want = [tok.encode(t, add_special_tokens=False).ids for t in texts[k : k + 2]]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.sources.tables import shared_folder
+from stavework.operators.components import connected_components
 
 
 def per_gram_work(grams: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -49,25 +49,12 @@ def containment_pairs(grams: DataFrame, min_shared: int = 50, share: float = 0.5
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(work_id, component): smallest work reachable over pairs (a, b), by alternating
-    large-star and small-star steps until nothing changes; each round is checkpointed to
-    spark.checkpoint.dir. Nulls are ignored."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    """(work_id, component): smallest work reachable over pairs (a, b); a work that is paired
+    with itself only is its own component, nulls are ignored."""
     valid = pairs.select("a", "b").where("a is not null and b is not null")
     works = valid.select("a").unionByName(valid.select(F.col("b").alias("a"))).distinct()
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = valid.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    before, after = None, mark(e)
-    while after[0] and after != before:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        before, after = after, mark(e)
-    return works.join(e.select(F.col("u").alias("a"), F.col("v").alias("low")), "a", "left").select(F.col("a").alias("work_id"), F.coalesce("low", "a").alias("component"))
+    parts = connected_components(valid, "a", "b").toDF("a", "low")
+    return works.join(parts, "a", "left").select(F.col("a").alias("work_id"), F.coalesce("low", "a").alias("component"))
 
 
 def incipits(grams: DataFrame, pattern: list[int], sizes: list[int]) -> DataFrame:

@@ -13,8 +13,6 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,20 +87,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-@contextmanager
-def conf(spark: SparkSession, **settings: str) -> Iterator[None]:
-    """Session settings for the actions inside (dots written as double underscores)."""
-    names = {k.replace("__", "."): str(v) for k, v in settings.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def input_splits(df: DataFrame) -> int:
     """Partitions of a scan: proportional to its bytes, so a measure of input size."""
     return max(1, df.rdd.getNumPartitions())
@@ -136,7 +120,8 @@ def folded(doc_id: Column, modulus: int) -> Column:
 def project(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, under our own names: extra columns never clash.
 
-    Texts may be long, so Python gets batches of fewer rows than Spark's default.
+    Texts may be long, so Python gets batches of fewer rows than Spark's default. This
+    lowers a setting of the session, which results that are read later still need.
     """
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -93,8 +93,12 @@ def input_splits(df: DataFrame) -> int:
 
 
 def trim_memory() -> None:
-    """Give freed memory of this worker back to the machine (where the C library can)."""
+    """Give freed memory of this worker back to the machine (where the C library can): workers
+    are used again by other stages."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import folded, project
+from stavework.llm._env import folded, project, trim_memory
 from stavework.llm._words import chunks, words_of
 
 WORD_BITS, BINS = 14, 13
@@ -198,6 +198,7 @@ def classify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
             numbers = _numbers(pdf, metadata)
             for at, texts in chunks(list(range(len(pdf))), pdf.text.tolist()):
                 yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[at].astype("Int64").to_numpy(), "score": model.score(texts, numbers[at])})
+        trim_memory()
 
     out = project(docs, doc_id=doc_id, text=text, **_metadata_columns(metadata)).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(folded(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

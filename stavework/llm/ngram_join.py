@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm._env import drop, free_shuffles, lean_memory, project, write_table
+from stavework.llm._env import drop, free_shuffles, lean_memory, project, trim_memory, write_table
 from stavework.llm._words import U, chunks, components, distinct_sorted, rolling, words_of
 from stavework.operators.components import connected_components
 
@@ -58,6 +58,7 @@ def _sketch(words: int):
                 if tokens:
                     cell, count = np.unique_counts((np.concatenate(tokens) >> U(64 - SKETCH_BITS)).astype(np.uint32))
                     seen[cell] += count.astype(np.uint32)
+        trim_memory()
         if seen.any():
             packer = zstandard.ZstdCompressor(3)
             yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [packer.compress(s.tobytes()) for s in np.split(seen, SLICES)]})
@@ -106,6 +107,7 @@ def _prefixes(words: int, classes, num: int, den: int):
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     prefix.append(prefix_keys(s, classes.value, num, den).astype(np.int64) if len(s) else None)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+        trim_memory()
 
     return run
 
@@ -115,6 +117,7 @@ def _sets(words: int):
         for pdf in batches:
             for ids, texts in chunks(pdf.doc_id.tolist(), pdf.text.tolist()):
                 yield pd.DataFrame({"doc_id": ids, "s": [s.tobytes() for s in shingle_sets(texts, words)]})
+        trim_memory()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavework.llm import _packed
-from stavework.llm._env import free_shuffles, input_splits, lean_memory, project, write_table
+from stavework.llm._env import free_shuffles, input_splits, lean_memory, project, trim_memory, write_table
 from stavework.llm._words import U, Words, chunks, rolling, words_of
 
 SIGNATURE_BITS = 40
@@ -70,6 +70,7 @@ def _signatures(width: int, bucket_bits: int):
                     ends = [*np.searchsorted(values, cut).tolist(), len(values)]
                     out += [(k, kind, _packed.put_sorted(values[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
                 yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], schema=schema)
+        trim_memory()
 
     return run
 
@@ -86,6 +87,8 @@ def _meet(bucket_bits: int):
         for at in _filter_bits(hit, bucket_bits):
             bits[at] = True
         packed = np.packbits(bits, bitorder="little")
+        del kinds, values, batches, twice, hit, bits
+        trim_memory()
         return pd.DataFrame({"bucket": pdf.bucket.iloc[:1], "bits": [_packed.put(packed)]})
 
     return run
@@ -120,6 +123,7 @@ def _passing(filter_, width: int, block: int, bucket_bits: int):
                 first, full = first[keep], full[keep]
                 doc = w.doc[first]
                 yield pa.record_batch([pa.array(full.view(np.int64)), pa.array(np.array(ids, np.int64)[doc]), pa.array((first - w.first[doc]).astype(np.int32))], schema=schema)
+        trim_memory()
 
     return run
 
@@ -194,5 +198,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 at += len(ids)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], schema=schema)
+        trim_memory()
 
     return joined.mapInArrow(cut, "doc_id long, kept string, n_words long, n_removed long")

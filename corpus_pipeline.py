@@ -20,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
     The text and n_chars (null: a bin of its own) are inputs. A document without an id stays;
-    rows that share an id stay or go together. Without labels of both kinds none goes.
+    rows that share an id stay or go together. Without labels none goes; labels of one kind
+    give every document their smoothed share.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fm.train(docs, labels, label="quality", metadata=("n_chars",))

@@ -290,3 +290,21 @@ def test_runs_that_share_a_hash_get_their_own_ids(monkeypatch):
             ids, sizes = enc(pa.array(texts[k : k + 2], pa.string()))
             want = [tok.encode(t, add_special_tokens=False).ids for t in texts[k : k + 2]]
             assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_stages_take_nulls_and_repeats(spark, corpus):
+    import corpus_pipeline
+
+    schema = spark.read.parquet(f"{corpus}/documents.parquet").schema
+    text = _text(60)
+    rows = [(None, text, None, None, None, None), (None, None, None, None, None, None), (1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (2, text + " tail", None, None, None, None), (3, None, "en", "a", 0, "x"), (4, "", "en", "a", 0, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    assert set(ids(stages["quality"](spark, docs, corpus))) >= {0}
+    assert ids(stages["near_duplicates"](spark, docs, corpus)) == [0, 0, 1, 1, 3, 4]
+    cut = stages["repeated_passages"](spark, docs, corpus)
+    assert {r.doc_id: r.text for r in cut.where("doc_id > 1").collect()} == {2: "tail", 3: None, 4: ""} and ids(cut) == [0, 0, 1, 1, 2, 3, 4]
+    mixed = stages["mixture"](spark, docs, corpus)
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= {0, 1, 2, 3, 4}
+    assert ids(stages["tokens"](spark, docs, corpus)) == [0, 0, 1, 1, 2, 3, 4]

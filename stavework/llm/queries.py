@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stavework.llm import ann, bpe, fm, katz, licenses, mixing, near_embed, ngram_join, substring, tokenfile
 

@@ -6,7 +6,7 @@ works or composers out is a filtered sum, never a rebuilt table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavework.functions.symbols import good_turing_alpha, laplace
@@ -92,27 +92,33 @@ def _wanted(queries: DataFrame, by: list[str], m: int) -> DataFrame:
     return queries.select(*by, "query", F.explode(slots).alias("x")).select(*by, "query", "x.*")
 
 
-def _chain(m: int, window: bool) -> Column:
-    """The interpolated chain as one expression over h (slot -> count) and N1.., V1.., D1.. ."""
+def _folded(rows: DataFrame, m: int, window: bool) -> DataFrame:
+    """Rows with ``__p``: the interpolated chain over h (slot -> count) and N1.., V1.., D1.. .
+
+    Every level is a column that the next one names, so the plan grows with the square of m,
+    not with its power.
+    """
     v = lambda kind, o, a, n: F.coalesce(F.try_element_at("h", F.lit(f"{kind}{o}_{a}_{n}")), F.lit(0)).cast("double")
-    col, zero = F.col, F.lit(0.0)
-    uniform = 1 / (F.greatest(col("V1"), F.lit(1.0)) + 1)
-
-    def lower(j: int, k: int):
-        if j == 0:
-            return uniform
-        cont = F.greatest(v("s", j, k - j + 1, j) - col(f"D{j}"), zero)
-        if j == 1:
-            return F.when(col("V2") == 0, uniform).otherwise(cont / col("V2") + col("D1") * col("V1") / col("V2") * uniform) if m > 1 else uniform
-        den = v("m", j, k - j + 1, j - 1)
-        return F.when(den == 0, lower(j - 1, k)).otherwise(cont / den + col(f"D{j}") * v("f", j, k - j + 1, j - 1) / den * lower(j - 1, k))
-
-    logs = F.ln(F.greatest(F.when(col("N1") > 0, F.greatest(v("c", 1, 1, 1) - col("D1"), zero) / col("N1") + col("D1") * col("V1") / col("N1") * uniform).otherwise(uniform), F.lit(1e-300)))
+    col, zero, low = F.col, F.lit(0.0), F.col("__low")
+    log = lambda p: F.ln(F.greatest(p, F.lit(1e-300)))
+    rows = rows.withColumn("__uniform", 1 / (F.greatest(col("V1"), F.lit(1.0)) + 1))
+    first = F.greatest(v("c", 1, 1, 1) - col("D1"), zero) / col("N1") + col("D1") * col("V1") / col("N1") * col("__uniform")
+    rows = rows.withColumn("__logs", log(F.when(col("N1") > 0, first).otherwise(col("__uniform"))))
     for k in range(2, m + 1):
+        rows = rows.withColumn("__low", col("__uniform"))
+        for j in range(1, k):
+            cont = F.greatest(v("s", j, k - j + 1, j) - col(f"D{j}"), zero)
+            if j == 1:
+                level = F.when(col("V2") == 0, low).otherwise(cont / col("V2") + col("D1") * col("V1") / col("V2") * low)
+            else:
+                den = v("m", j, k - j + 1, j - 1)
+                level = F.when(den == 0, low).otherwise(cont / den + col(f"D{j}") * v("f", j, k - j + 1, j - 1) / den * low)
+            rows = rows.withColumn("__low", level)
         ctx = v("c", k - 1, 1, k - 1)
-        p = F.when(ctx == 0, lower(k - 1, k)).otherwise(F.greatest(v("c", k, 1, k) - col(f"D{k}"), zero) / ctx + col(f"D{k}") * v("f", k, 1, k - 1) / ctx * lower(k - 1, k))
-        logs = logs + F.ln(F.greatest(p, F.lit(1e-300)))
-    return F.exp(logs) * F.when(col(f"N{m}") > 0, col("N1") / col(f"N{m}")).otherwise(1.0) if window else F.exp(logs)
+        p = F.when(ctx == 0, low).otherwise(F.greatest(v("c", k, 1, k) - col(f"D{k}"), zero) / ctx + col(f"D{k}") * v("f", k, 1, k - 1) / ctx * low)
+        rows = rows.withColumn("__logs", col("__logs") + log(p))
+    scale = F.when(col(f"N{m}") > 0, col("N1") / col(f"N{m}")).otherwise(1.0) if window else F.lit(1.0)
+    return rows.withColumn("__p", F.exp("__logs") * scale)
 
 
 def _orders(stats: DataFrame, m: int, columns: dict[str, str], by: list[str]) -> DataFrame:
@@ -136,7 +142,7 @@ def kneser_ney(counts: DataFrame, queries: DataFrame, m: int, without: tuple = (
     got = _wanted(queries, [], m).join(table, ["kind", "o", "key"]).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("h"))
     stats = discounts(counts).select((F.col("n") - 1).alias("o"), "tokens", "types", "discount")
     scalars = _orders(stats, m, {"N": "tokens", "V": "types", "D": "discount"}, [])  # one row
-    return queries.select("query").join(got, "query", "left").crossJoin(F.broadcast(scalars)).select("query", _chain(m, window).alias("p"))
+    return _folded(queries.select("query").join(got, "query", "left").crossJoin(F.broadcast(scalars)), m, window).select("query", F.col("__p").alias("p"))
 
 
 def net_counts(counts: DataFrame, group: str, unit: str) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +183,7 @@ def kneser_ney_without(tables: tuple[DataFrame, DataFrame], discount: DataFrame,
     scalars = _orders(per, m, {"N": "tokens", "V": "types"}, ["g", "out"])
     d = _orders(discount, m, {"D": "discount"}, [])  # one row
     rows = asked.join(got, ["g", "out", "query"], "left").join(scalars, ["g", "out"], "left").crossJoin(F.broadcast(d))
-    return rows.select("g", "out", "query", F.when(F.col("N1") > 0, _chain(m, window)).alias("p"), F.col(f"N{m}").alias("n_m"), F.col("N1").alias("n_1"))
+    return _folded(rows, m, window).select("g", "out", "query", F.when(F.col("N1") > 0, F.col("__p")).alias("p"), F.col(f"N{m}").alias("n_m"), F.col("N1").alias("n_1"))
 
 
 def laplace_without(counts: DataFrame, queries: DataFrame, n: int, alpha: float = 1.0, exact_types: bool = False) -> DataFrame:

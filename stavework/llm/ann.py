@@ -8,7 +8,11 @@ candidates of all tables are merged and ranked by the exact cosine.
 Buckets meet their probes by an equi-join on (table, bucket, slice); a bucket
 with many vectors is cut into slices of bounded size, each probed like the bucket,
 so nothing is capped. Queries that found fewer than ``k`` are compared with every
-vector, in blocks. A bucket returns at most ``k`` candidates per query (and those
+vector, in blocks.
+
+The number of projections of a table follows the number of rows, the number of probes
+follows from a bounded sample of queries: their exact neighbours are found in one pass,
+and as many buckets are probed as it takes to meet the wanted share of them. A bucket returns at most ``k`` candidates per query (and those
 tied with the last): no pair of vector and query is ever a row.
 """
 
@@ -62,6 +66,62 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
+SAMPLE = 64
+#: Rows that a table of the fewest projections is made for, and the probes that are tried.
+ROWS_FOR_LEAST, LEAST_BITS, LADDER = 128_000, 5, (32, 64, 128, 256, 512, 1024, 2048, 4096)
+
+
+def _exact(sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """The k nearest of each sampled query within a batch of rows; ``sample``: ids and unit vectors by size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby(pdf.v.map(len)):
+                if size not in sample:
+                    continue
+                names, q = sample[size]
+                s = q @ matrix(part.v).T
+                s[names[:, None] == part.id.to_numpy()[None, :]] = -9
+                at = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                r, c = np.repeat(np.arange(len(names)), at.shape[1]), at.ravel()
+                keep = s[r, c] > -8
+                r, c = r[keep], c[keep]
+                yield pd.DataFrame({"query_id": names[r], "vec_id": part.id.to_numpy()[c], "score": s[r, c], "v": part.v.to_numpy()[c]})
+
+    return run
+
+
+def probes_for(rows: DataFrame, is_query, k: int, recall: float, tables: int, bits: int, width: float, seed: int) -> int:
+    """How many buckets of each table a query visits so that a sample of queries (``SAMPLE`` of
+    them, by a hash of the id) meets ``recall`` of its exact neighbours; the last of ``LADDER`` if
+    that does not do either."""
+    asked = rows.where(is_query).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("id", "v").collect()
+    by_size: dict[int, list] = {}
+    for r in asked:
+        by_size.setdefault(len(r["v"]), []).append(r)
+    sample = {n: (np.array([r["id"] for r in rs]), matrix(bytes(r["v"]) for r in rs)) for n, rs in by_size.items()}
+    if not sample:
+        return LADDER[0]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = rows.select("id", "v").mapInPandas(_exact(sample, k), "query_id long, vec_id long, score double, v binary").withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).collect()
+    first = []  # the number of the probe that meets each neighbour
+    for size, (names, q) in sample.items():
+        mine = [r for r in near if len(r["v"]) == size]
+        if not mine:
+            continue
+        a, b = _hashes(size // 8, tables, bits, width, seed)
+        x, of = matrix(bytes(r["v"]) for r in mine), np.searchsorted(np.sort(names), [r["query_id"] for r in mine])
+        of = np.argsort(names)[of]
+        at = np.full(len(mine), LADDER[-1])
+        for t in range(tables):
+            visited = _names(probes(q @ a[t].T + b[t], width, LADDER[-1]))
+            hit = visited[of] == _names(np.floor((x @ a[t].T + b[t]) / width).astype(np.int64))[:, None]
+            at = np.minimum(at, np.where(hit.any(1), hit.argmax(1), LADDER[-1]))
+        first.append(at)
+    met = np.concatenate(first) if first else np.zeros(0)
+    return next((n for n in LADDER if len(met) == 0 or (met < n).mean() >= recall), LADDER[-1])
+
+
 def _rank(k: int):
     def run(key, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -87,17 +147,23 @@ def _rank(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, tables: int = 5, bits: int = 5, width: float = 1.5, n_probes: int = 64, seed: int = 3, slice_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, tables: int = 5, bits: int | None = None, width: float = 1.5, n_probes: int | None = None, recall: float = 0.97, seed: int = 3, slice_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` nearest by cosine of each query.
 
     ``is_query``: a condition on column ``id``. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor does a null id; vectors of
     other lengths than the query's are no candidates. Ties go to the smaller vec_id,
     a vector never finds its own id, repeated rows of an id count once. An empty
-    table gives an empty result.
+    table gives an empty result. ``bits`` and ``n_probes``: by the rows and by a sample
+    (see ``probes_for``) unless they are given.
     """
     rows = write_table(unit_vectors(vectors, vec_id, embedding).where("v is not null and id is not null").dropDuplicates(["id"]), "ann-vectors").df()
 
+    if bits is None:
+        bits = LEAST_BITS + max(0, int(np.ceil(np.log2(max(rows.count(), 1) / ROWS_FOR_LEAST) / 2)))
+    if n_probes is None:
+        n_probes = probes_for(rows, is_query, k, recall, tables, bits, width, seed)
+
     def bucketed(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

@@ -142,6 +142,18 @@ def _runs(width: int):
     return run
 
 
+def _filter(rows: DataFrame, block: int, bucket_bits: int) -> np.ndarray:
+    """The Bloom filter of all anchors that another text holds. Plans of these exchanges end here,
+    so that Spark may delete their files."""
+    sent = rows.mapInArrow(_signatures(block, bucket_bits), "bucket int, kind int, values binary")
+    answers = sent.groupBy("bucket").applyInPandas(_meet(bucket_bits), "bucket int, bits binary")
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    step = len(bits) >> bucket_bits
+    for r in answers.toLocalIterator():  # segments of the filter: 32 MB in all
+        bits[r["bucket"] * step : (r["bucket"] + 1) * step] = _packed.get(bytes(r["bits"]), np.uint8)
+    return bits
+
+
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13) -> DataFrame:
     """(id, spans): word ranges [start, end, ...] of each text that are covered by windows
     of ``width`` words whose sequence also starts in a text with a smaller id."""
@@ -149,12 +161,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     block = (width + 1) // 2
     rows = project(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     bucket_bits = min(20, max(4, int(np.ceil(np.log2(2 * input_splits(docs))))))
-    sent = rows.mapInArrow(_signatures(block, bucket_bits), "bucket int, kind int, values binary")
-    answers = sent.groupBy("bucket").applyInPandas(_meet(bucket_bits), "bucket int, bits binary")
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    step = len(bits) >> bucket_bits
-    for r in answers.toLocalIterator():  # segments of the filter: 32 MB in all
-        bits[r["bucket"] * step : (r["bucket"] + 1) * step] = _packed.get(bytes(r["bits"]), np.uint8)
+    bits = _filter(rows, block, bucket_bits)
     free_shuffles(spark)
     filter_ = spark.sparkContext.broadcast(bits)
     found_table = write_table(rows.mapInArrow(_passing(filter_, width, block, bucket_bits), "h long, doc_id long, pos int"), "near-windows")

@@ -14,7 +14,7 @@ from stavework.sources.notes import table
 from stavework.sources.tables import scratch, store
 
 SEED = 20260903
-SAMPLE = 60
+SAMPLE = 200
 
 
 def _models(spark, sf_dir):

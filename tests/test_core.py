@@ -311,3 +311,17 @@ def test_streaming_sessions_equal_the_batch(spark, tmp_path):
     rows = lambda df: sorted((r.user_id, str(r.start), r.events, round(r.total, 3)) for r in df.where("user_id >= 0").collect())
     got = rows(spark.table("sessions"))
     assert got and set(got) <= set(rows(event_sessions(events)))
+
+
+def test_models_are_joined_by_sorting_however_small_their_files_look(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators import background as bg
+
+    rows = [(n, [1] * (n - 1), c, w, 1) for n in (2, 3, 4) for w, c in enumerate("aabb")]
+    counts = spark.createDataFrame(rows, "n int, gram array<int>, composer string, work_id int, c long")
+    d = bg.discounts(counts).select((F.col("n") - 1).alias("o"), "discount")
+    q = spark.createDataFrame([(["a", "b"], [1, 1, 1])], "out array<string>, query array<int>")
+    whole = bg.net_counts(counts.withColumn("g", F.lit("all")), "g", "composer")
+    for model in (bg.kneser_ney_without(whole, d, q.withColumn("g", F.lit("all")), 3), bg.laplace_without(counts, q, 4), bg.document_frequency_without(counts, d, q, 3)):
+        assert "BroadcastHashJoin" not in model._jdf.queryExecution().executedPlan().toString()

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from stavework.functions.catalog import fraction
 
 
+def first_values(hits: DataFrame) -> DataFrame:
+    """(file, key, value): the text of the first line of each key; hits have file, line_no, key, text."""
+    return hits.groupBy("file", "key").agg(F.min_by("text", "line_no").alias("value"))
+
+
 def reference_records(lines: DataFrame) -> DataFrame:
     """(file, key, value): first ``!!!KEY: value`` line of each key; lines have file, line_no, value."""
     hit = lines.where(F.col("value").rlike(r"^!!![^:]+:")).select("file", "line_no", F.regexp_extract("value", r"^!!!([^:]+):", 1).alias("key"), F.trim(F.regexp_extract("value", r"^!!![^:]+:(.*)$", 1)).alias("text"))
-    return hit.groupBy("file", "key").agg(F.min_by("text", "line_no").alias("value"))
+    return first_values(hit)
 
 
 def work_headers(lines: DataFrame, first: int = 60) -> DataFrame:

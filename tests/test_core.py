@@ -325,3 +325,11 @@ def test_models_are_joined_by_sorting_however_small_their_files_look(spark):
     whole = bg.net_counts(counts.withColumn("g", F.lit("all")), "g", "composer")
     for model in (bg.kneser_ney_without(whole, d, q.withColumn("g", F.lit("all")), 3), bg.laplace_without(counts, q, 4), bg.document_frequency_without(counts, d, q, 3)):
         assert "BroadcastHashJoin" not in model._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_are_what_the_sql_reads_with_blanks_and_line_ends(spark, duck, tmp_path):
+    pages = [(1, "<html><title>  two blanks </title><p>"), (2, "<html><title>first\nsecond</title>"), (3, "<title>a\rb\u2028c</title><title>later</title>"), (4, "<p>none</p>"), (5, "<html><title>\n</title>"), (6, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {tuple(r) for r in QUERIES["header_scan"](spark, str(tmp_path)).select("page_id", "title").collect()} == set(con.execute(ORACLE_SQL["header_scan"]).fetchall())

@@ -333,3 +333,15 @@ def test_titles_are_what_the_sql_reads_with_blanks_and_line_ends(spark, duck, tm
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert {tuple(r) for r in QUERIES["header_scan"](spark, str(tmp_path)).select("page_id", "title").collect()} == set(con.execute(ORACLE_SQL["header_scan"]).fetchall())
+
+
+def test_reliability_of_weighted_rows_is_that_of_rows_repeated(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators import evaluate
+
+    groups = spark.createDataFrame([(3, 1, 0.2), (2, 2, 0.2), (5, 0, 0.01)], "works int, held int, df double")
+    each = groups.select("df", F.explode(F.sequence(F.lit(1), F.col("works"))).alias("k"), "held").withColumn("seen", (F.col("k") <= F.col("held")).cast("double"))
+    found = evaluate.reliability(groups.withColumn("share", F.col("held") / F.col("works")), "share", "df", [0.1], "works")
+    key = lambda r: (r["bin"], r["pairs"], round(r["mean_pred"], 9), round(r["mean_obs"], 9))
+    assert {key(r) for r in found.collect()} == {key(r) for r in evaluate.reliability(each, "seen", "df", [0.1]).collect()}

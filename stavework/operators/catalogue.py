@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stavework.functions import catalog as cat
 from stavework.operators.curves import components
+from stavework.sources.tables import merged
 
 DATE_FIELDS = ("year_start", "year_end", "composition_year", "year_source", "year_certainty", "period", "period_source")
 UNIT_COLUMNS = ("unit_id", "work_id", "collection", "composer", "composer_id", "title", "movement", *DATE_FIELDS, "format", "path", "license", "catalog_key", "is_target", "in_analysis")
@@ -127,11 +128,11 @@ def musedata_units(files: DataFrame, headers: DataFrame, composer: str, collecti
     parts = parts.groupBy("work", "edition", "mov").agg(F.min("path").alias("path")).select("path", "work", F.when(F.col("mov") == "", "1").otherwise(F.col("mov")).alias("mov"), "edition", F.regexp_replace("path", "/[^/]*$", "").alias("unit"))
     both = scores.select(parts.columns).unionByName(parts).withColumn("rank", F.array_position(F.array(*map(F.lit, EDITIONS)), F.col("edition")))
     best = both.groupBy("work").agg(F.min("rank").alias("best"))
-    rows = both.join(best, "work").where("rank = best").join(headers.select(F.col("file").alias("path"), "wk", "l2", "l3"), "path", "left")
+    rows = both.join(merged(best), "work").where("rank = best").join(merged(headers.select(F.col("file").alias("path"), "wk", "l2", "l3")), "path", "left")
     read = F.col("edition") != "stage1"
     rows = rows.select("work", "mov", "unit", "edition", *[F.when(read, F.trim(F.coalesce(c, F.lit("")))).otherwise("").alias(a) for c, a in (("wk", "wk"), ("l2", "title"), ("l3", "mov_title"))])
     first = rows.groupBy("work").agg(F.min_by(F.struct("title", "wk"), "mov").alias("h"))
-    rows = rows.drop("title", "wk").join(first, "work").withColumn("title", F.when(F.col("h.title") != "", F.col("h.title")).otherwise(F.replace("work", F.lit("/"), F.lit(" / "))))
+    rows = rows.drop("title", "wk").join(merged(first), "work").withColumn("title", F.when(F.col("h.title") != "", F.col("h.title")).otherwise(F.replace("work", F.lit("/"), F.lit(" / "))))
     rows = rows.withColumn("work_id", F.concat(F.lit(f"{collection}-"), F.replace("work", F.lit("/"), F.lit("-")))).withColumn("composer", F.lit(composer))
     return as_units(
         rows, unit_id=F.concat("work_id", F.lit("--"), "mov"), collection=F.lit(collection), composer_id=cat.composer_id(F.col("composer")), movement=F.trim(F.concat("mov", F.lit(" "), "mov_title")), format=F.concat(F.lit("musedata_"), F.regexp_replace("edition", "s$", "")),

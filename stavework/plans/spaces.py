@@ -10,7 +10,7 @@ from stavework.operators.sequences import padded_windows, symbol_arrays
 from stavework.plans.queries import SYMBOLS_SQL, _segs, _steps, query
 from stavework.sources import files
 from stavework.sources.notes import NOTES_SQL, notes, table
-from stavework.sources.tables import merge_log, pending, report
+from stavework.sources.tables import merge_log, pending, report, scratch, store
 
 _TEXT = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
 
@@ -133,9 +133,12 @@ def motif_highlights(spark, sf_dir):
 def weighted_picks(spark, sf_dir):
     """Every line of an order picked once by its place in the running total of lines per status."""
     lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    w = lines.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    w = store(lines.groupBy("o_orderstatus").agg(F.count("*").alias("n")), scratch(spark, "weights"))
     total = w.agg(F.sum("n").alias("t"))
-    picks = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") + 5)).alias("pick"))
+    step, last = 1 << 16, F.col("t") + 5
+    blocks = total.select(F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long"))).alias("b"), last.alias("last"))
+    dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b")
+    picks = dealt.select(F.explode(F.sequence("b", F.least(F.col("b") + step - 1, "last"))).alias("pick"))
     return cal.weighted_picks(w, "o_orderstatus", "n", picks).groupBy("key").agg(F.count("*").alias("picks"))
 
 

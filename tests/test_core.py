@@ -345,3 +345,23 @@ def test_reliability_of_weighted_rows_is_that_of_rows_repeated(spark):
     found = evaluate.reliability(groups.withColumn("share", F.col("held") / F.col("works")), "share", "df", [0.1], "works")
     key = lambda r: (r["bin"], r["pairs"], round(r["mean_pred"], 9), round(r["mean_obs"], 9))
     assert {key(r) for r in found.collect()} == {key(r) for r in evaluate.reliability(each, "seen", "df", [0.1]).collect()}
+
+
+def test_picks_are_not_broadcast_and_lie_in_their_stretch(spark):
+    from stavework.operators.calibrate import weighted_picks
+
+    weights = spark.createDataFrame([("a", 3), ("b", 0), ("c", 500), ("d", 1)], "k string, n long")
+    found = weighted_picks(weights, "k", "n", spark.range(510).withColumnRenamed("id", "pick"))
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert not any("pick" in x for x in joins if "SortMergeJoin" not in x)
+    got = found.collect()
+    assert sorted(r.pick for r in got) == list(range(504))
+    assert sorted((r.key, r.place) for r in got) == sorted([("a", i) for i in range(3)] + [("c", i) for i in range(500)] + [("d", 0)])
+
+
+def test_musedata_editions_are_joined_by_sorting(spark):
+    assert "BroadcastHashJoin" not in QUERIES["musedata_catalogue"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lambda_calibration_takes_every_window():
+    assert "LIMIT" not in ORACLE_SQL["lambda_calibration"] and "LIMIT" in ORACLE_SQL["lambda_of_least_bias"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavework.functions.symbols import influence_weight, moving_token, nearest
+from stavework.operators import topics
 
 EPS = 1e-9
 #: Duration levels of the rhythm histogram and of tokens, and their tolerance.
@@ -117,22 +118,9 @@ def running_edge_weight(edges: DataFrame) -> DataFrame:
 def lda_topics(words: DataFrame, k: int = 4, iterations: int = 50, seed: int = 42) -> DataFrame:
     """(topic, rank, term, weight): top words of topics over column ``words``.
 
-    Every word counts. Each step draws as many rows as there are, with replacement (Spark's
-    sampling); steps are averaged, so all rows shape the result. Rows without words (null or
-    empty) are left out; no words at all give an empty table."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    rows = words.where(F.size("words") > 0).select("words")
-    schema = "topic int, rank int, term string, weight double"
-    size = rows.select(F.explode("words").alias("w")).agg(F.countDistinct("w")).first()[0]
-    if not size:
-        return words.sparkSession.createDataFrame([], schema)
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=size).fit(rows)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, optimizeDocConcentration=False, docConcentration=[0.5] * k, topicConcentration=0.1).fit(cv.transform(rows).select("features"))
-    found = model.describeTopics(6).collect()  # k rows of six words
-    top = [(r.topic, i + 1, cv.vocabulary[t], w) for r in found for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights))]
-    return words.sparkSession.createDataFrame(top, schema)
+    Every word and every row counts in every step. Rows without words (null or empty) are left
+    out; no words at all give an empty table."""
+    return topics.top_words(words, k, iterations, seed, alpha=0.5, eta=0.1, top=6)
 
 
 def work_embeddings(sequences: DataFrame, by: str, dims: int = 64, steps: int = 5, seed: int = 42) -> DataFrame:

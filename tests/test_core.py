@@ -107,6 +107,59 @@ def test_topics_count_every_word(spark):
     assert len(top) == 12 and sum(r.term.startswith("r") for r in top) == 6
 
 
+def test_topics_over_blocks_match_a_plain_loop(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from stavework.operators import topics
+
+    pick = np.random.default_rng(7)
+    rows = [[f"{'äbc'[kind]}{w}" for w in pick.zipf(1.6, pick.integers(1, 30)) % 50] for kind in range(3) for _ in range(25)]
+    rows += [rows[0]] * 3 + [[f"long{i}" for i in range(90)], None, [], [None], [None, "a1", "a1"]]
+    vocabulary = sorted({w for r in rows for w in r or [] if w}, key=str.encode)
+    k, alpha, eta, steps = 3, 0.5, 0.1, 6
+    model = topics.first_weights(topics._keys(pa.array(vocabulary)), k, 42)
+    for _ in range(steps):
+        beta = np.exp(topics.digamma(model)) / np.exp(topics.digamma(model.sum(axis=1)))[:, None]
+        model = np.full(model.shape, eta)
+        for r in rows:
+            at = [vocabulary.index(w) for w in r or [] if w]
+            gamma, last = np.ones(k), np.full(k, 9.0)
+            mix = lambda g: np.exp(topics.digamma(g) - topics.digamma(g.sum(keepdims=True)))
+            while at and np.abs(gamma - last).mean() > 1e-3:
+                gamma, last = alpha + mix(gamma) * (beta[:, at] / (mix(gamma) @ beta[:, at])).sum(axis=1), gamma
+            for w in at:
+                model[:, w] += mix(gamma) * beta[:, w] / (mix(gamma) @ beta[:, w])
+    want = [[(w, x) for x, w in sorted(zip(t / t.sum(), vocabulary), key=lambda x: (-x[0], x[1].encode()))[:6]] for t in model]
+    table = spark.createDataFrame([(r,) for r in rows], "words array<string>")
+    for parts, sizes in ((3, {"block_words": 40, "range_words": 60}), (1, {})):
+        got = topics.top_words(table.repartition(parts), k, steps, 42, alpha, eta, 6, **sizes).collect()
+        assert [(r.topic, r["rank"]) for r in got] == [(t, i) for t in range(k) for i in range(1, 7)]
+        assert [r.weight for r in got] == pytest.approx([x for t in want for _, x in t], rel=1e-6)
+        assert [r.term for r in got] == [w for t in want for w, _ in t]
+    assert topics.top_words(table.where("size(words) = 0"), k, steps, 42, alpha, eta, 6).collect() == []
+
+
+def test_topics_send_no_vocabulary_to_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from stavework.operators.similarity import lda_topics
+
+    sc = spark.sparkContext
+
+    def sent(after: int) -> tuple[int, int]:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._gateway.new_array(sc._jvm.double, 0)
+        stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+        new = [s for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() > after]
+        return max([s.stageId() for s in new], default=after), sum(s.resultSize() for s in new)
+
+    rows = spark.range(60).select(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 2000 + i).cast("string"))).alias("words"))
+    last, _ = sent(-1)
+    assert lda_topics(rows.repartition(4), iterations=3).count() == 24
+    assert sent(last)[1] < 2_000_000  # a step over 120,000 words and four topics would be 3.8 MB
+
+
 def test_kneser_ney_leaves_composers_and_works_out(spark):
     from stavework.operators import background as bg
 

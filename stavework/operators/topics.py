@@ -248,7 +248,7 @@ def top_words(words: DataFrame, k: int, iterations: int, seed: int, alpha: float
         if step == iterations:
             break
         made.append(scratch(spark, "topic-step"))
-        sent = store(counted.cogroup(slim.groupBy("part")).applyInArrow(lambda s, r: _in_range(s, r, k, eta), TO_BLOCKS), made[-1])
+        sent = store(counted.cogroup(slim.groupBy("part")).applyInArrow(lambda s, r: _in_range(s, r, k, eta), TO_BLOCKS), made[-1], plain=True)
         if step > 1:
             discard(spark, made.pop(-2))
         gc.collect()  # lets Spark delete the exchange files of the step
